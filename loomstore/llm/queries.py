@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, packing, token_counts, token_files
+from . import byte_cnn, hnsw, packing, segment_topk, token_counts, token_files, url_trust
 from .shared import scratch, shuffle_partitions
 
 
@@ -24,6 +24,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fits_chars")
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_topk.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, partitions=max(8, shuffle_partitions(spark)))
@@ -45,6 +60,9 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_token_counts": op2_token_counts,
+    "op3_hnsw": op3_hnsw,
+    "op4_segment_topk": op4_segment_topk,
+    "op5_url_trust": op5_url_trust,
     "op9_token_files": op9_token_files,
     "op10_byte_cnn": op10_byte_cnn,
 }
