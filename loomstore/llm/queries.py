@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, hnsw, packing, segment_topk, token_counts, token_files, url_trust
+from . import byte_cnn, hnsw, jaccard_join, packing, segment_topk, token_counts, token_files, url_trust
 from .shared import scratch, shuffle_partitions
 
 
@@ -39,6 +39,10 @@ def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.cluster(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, partitions=max(8, shuffle_partitions(spark)))
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_hnsw": op3_hnsw,
     "op4_segment_topk": op4_segment_topk,
     "op5_url_trust": op5_url_trust,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_token_files": op9_token_files,
     "op10_byte_cnn": op10_byte_cnn,
 }
