@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, hnsw, jaccard_join, packing, segment_topk, substring_dedup, token_counts, token_files, url_trust
+from . import byte_cnn, hnsw, jaccard_join, packing, segment_topk, sp_lattice, substring_dedup, token_counts, token_files, url_trust
 from .shared import scratch, shuffle_partitions
 
 
@@ -48,6 +48,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_lattice.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, partitions=max(8, shuffle_partitions(spark)))
@@ -74,6 +78,7 @@ QUERIES = {
     "op5_url_trust": op5_url_trust,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_token_files": op9_token_files,
     "op10_byte_cnn": op10_byte_cnn,
 }
