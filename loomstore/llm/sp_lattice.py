@@ -64,21 +64,27 @@ def _byte_ids(char: Column, first_byte: int) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.length(h) / 2 - 1).cast("int")), lambda i: (F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte))
 
 
-def fold(word: Column, edges: Column, first_byte: int) -> Column:
-    """The ids of a word from its edges (rank, s, e, id), ascending."""
-    n = F.length(word)
-    cuts = F.sequence(F.lit(0), n)
-    wide = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
+def _bind(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold(words: DataFrame, first_byte: int) -> DataFrame:
+    """words (..., word, edges) -> the same with ids; edges (rank, s, e, id) are ascending. In steps, so that each column is computed once."""
 
     def step(b: Column, _: Column) -> Column:
         # An edge over two neighbours: its start is a cut, and its end the next but one.
-        hit = F.get(F.filter(wide, lambda x: F.get(b, F.array_position(b, x["s"]).cast("int") + 1) == F.when(F.array_contains(b, x["s"]), x["e"])), F.lit(0))
-        return F.when(hit.isNull(), b).otherwise(F.filter(b, lambda c: (c <= hit["s"]) | (c >= hit["e"])))
+        spans = lambda x: F.get(b, F.array_position(b, x["s"]).cast("int") + 1) == x["e"]
+        hit = F.get(F.filter("wide", lambda x: F.array_contains(b, x["s"]) & spans(x)), F.lit(0))
+        return _bind(hit, lambda h: F.when(h.isNull(), b).otherwise(F.filter(b, lambda c: (c <= h["s"]) | (c >= h["e"]))))
 
-    merged = F.when(n > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), cuts, step)).otherwise(cuts)
-    spans = F.transform(F.slice(merged, F.lit(1), F.size(merged) - 1), lambda c, i: F.struct(c.alias("s"), F.get(merged, i + 1).alias("e")))
-    one = lambda p: F.get(F.filter(edges, lambda x: (x["s"] == p["s"]) & (x["e"] == p["e"])), F.lit(0))
-    return F.flatten(F.transform(spans, lambda p: F.coalesce(F.when(one(p).isNotNull(), F.array(one(p)["id"])), _byte_ids(F.substring(word, p["s"] + 1, F.lit(1)), first_byte))))
+    n = F.length("word")
+    wide = words.withColumn("wide", F.filter("edges", lambda x: x["e"] - x["s"] > 1))
+    cuts = wide.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step))
+    spans = cuts.withColumn("spans", F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("s"), F.slice("cuts", 2, F.size("cuts") - 1).alias("e")))
+    one = lambda p: F.get(F.filter("edges", lambda x: (x["s"] == p["s"]) & (x["e"] == p["e"])), F.lit(0))["id"]
+    part = lambda p: _bind(one(p), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_byte_ids(F.substring("word", p["s"] + 1, F.lit(1)), first_byte)))
+    return spans.withColumn("ids", F.flatten(F.transform("spans", part)))
 
 
 def lattice(words: DataFrame, keys: list[str], pieces: DataFrame, longest: int, first_byte: int) -> DataFrame:
@@ -88,7 +94,7 @@ def lattice(words: DataFrame, keys: list[str], pieces: DataFrame, longest: int,
     none = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("piece")))
     parts = words.select(*keys, "word", F.explode(F.concat(subs, none)).alias("x")).select(*keys, "word", "x.s", "x.e", "x.piece")
     edges = parts.join(F.broadcast(pieces), "piece").groupBy(*keys).agg(F.first("word").alias("word"), F.sort_array(F.collect_list(F.struct("rank", "s", "e", "id"))).alias("edges"))
-    return edges.select(*keys, fold(F.col("word"), F.col("edges"), first_byte).alias("ids"))
+    return fold(edges, first_byte).select(*keys, "ids")
 
 
 def merge_long(words: list[str], path: str, pieces: dict[str, tuple[float, int]], first_byte: int) -> list[list[int]]:
