@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLES = {}
+"""The registry of the engine's queries and of their DuckDB twins."""
+
+from . import tensors  # noqa: F401  adds its queries
+from .relational import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
