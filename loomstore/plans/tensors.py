@@ -202,4 +202,4 @@ def a01(spark, d):
     t = table(spark, d, "embeddings").filter("label = 3").select(K.floats_to_bytes()("embedding").alias("payload"))
     safetensors.write_blobs(t.select(K.content_hash_udf()("payload").alias("id"), F.lit("float32").alias("dtype"), F.array(F.lit(64).cast("long")).alias("shape"), "payload"), root)
     got = safetensors.read(spark, root).filter("name = 'tensor'")
-    return got.select(F.regexp_extract("file", r"([0-9a-f]{32})", 1).alias("id"), "dtype", "shape", "data_len", (K.content_hash_udf()("payload") == F.regexp_extract("file", r"([0-9a-f]{32})", 1)).alias("intact"))
+    return got.select(F.regexp_extract("file", r"([0-9a-f]{32})\.safetensors", 1).alias("id"), "dtype", "shape", "data_len", (K.content_hash_udf()("payload") == F.regexp_extract("file", r"([0-9a-f]{32})\.safetensors", 1)).alias("intact"))
