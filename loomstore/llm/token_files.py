@@ -44,7 +44,9 @@ def train(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     """The dictionary; empty (which means none) when the sample is too small to train on."""
     import zstandard
 
-    rows = docs.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).select(F.substring(text, 1, 8 * SAMPLE_IDS)).collect()
+    # The keys first: a sort for the smallest sends that many rows from each task, which should not be texts.
+    keys = {r[0] for r in docs.filter(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).collect()}
+    rows = docs.filter(F.col(key).isin(sorted(keys))).limit(SAMPLE_DOCS).select(F.substring(text, 1, 8 * SAMPLE_IDS)).collect() if keys else []
     ids = encoder(tokenizer_path).encode([r[0] or "" for r in rows])
     try:
         return zstandard.train_dictionary(DICT_BYTES, [serialize(x[:SAMPLE_IDS]) for x in ids if len(x) >= 2]).as_bytes()
