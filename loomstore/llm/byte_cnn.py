@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .textops import string_buffers
 
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
@@ -163,4 +164,4 @@ def score(docs: DataFrame, model: ByteCNN, text: str = "text", name: str = "scor
     from pyspark.sql import types as T
 
     kept = docs.select(*[docs[f"`{c}`"] for c in keep])
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import stored, tidy, tidy_group
 from .textops import chunks, document_grams, string_buffers, word_hashes, words
 
 RANGE_TOKENS = 2_000_000
@@ -122,15 +122,9 @@ def document_nodes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_
         one.loc[meta["null"], "doc_id"] = pd.NA
         return pd.concat([one] * len(metas))
 
-    blobs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(hashes, "range int, batch long, h binary, doc binary, meta binary")
-    counts = blobs.groupBy("range").applyInPandas(_plain(meet), "batch long, doc binary, hits binary, meta binary")
-    return counts.groupBy("batch").applyInPandas(_plain(decide), "doc_id long, n int, node long, may boolean")
-
-
-def _plain(f):
-    """f without annotations, which Spark would try to read as its own kinds of functions."""
-    f.__annotations__ = {}
-    return f
+    blobs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(hashes), "range int, batch long, h binary, doc binary, meta binary")
+    counts = blobs.groupBy("range").applyInPandas(tidy_group(meet), "batch long, doc binary, hits binary, meta binary")
+    return counts.groupBy("batch").applyInPandas(tidy_group(decide), "doc_id long, n int, node long, may boolean")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,7 +142,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, k: int, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["node", "n", "grams"])
 
     mine = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(nodes, "doc_id").select("node", "text")
-    return mine.mapInArrow(run, "node long, n int, grams array<long>")
+    return mine.mapInArrow(tidy(run), "node long, n int, grams array<long>")
 
 
 def _enough(least: Column, n1: Column, n2: Column, num: int, den: int) -> Column:

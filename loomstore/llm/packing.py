@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .shared import tidy
 from .textops import chunks, string_buffers
 
 TIERS = (128, 256, 512, 1024)
@@ -172,7 +173,7 @@ def pack(
         if rows[0]:
             yield flush()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), PIECE_SCHEMA)
 
 
 def ids_crc32(ids: Column) -> Column:

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .jaccard_join import BATCH_BYTES, BATCH_DOCS, _plain, _ranges
-from .shared import stored
+from .jaccard_join import BATCH_BYTES, BATCH_DOCS, _ranges
+from .shared import stored, tidy, tidy_group
 from .textops import chunks, gram_hashes, string_buffers, word_hashes, words
 
 GRAM = 7
@@ -120,9 +120,9 @@ def text_anchors(docs: DataFrame, window: int, n_ranges: int) -> DataFrame:
         one.loc[meta["null"], "doc_id"] = pd.NA
         return pd.concat([one] * len(metas))
 
-    blobs = docs.mapInArrow(emit, "range int, batch long, h binary, doc binary, mark binary, meta binary")
-    met = blobs.groupBy("range").applyInPandas(_plain(meet), "batch long, doc binary, hits binary, meta binary")
-    return met.groupBy("batch").applyInPandas(_plain(gather), "doc_id long, node long, n int, anchors binary")
+    blobs = docs.mapInArrow(tidy(emit), "range int, batch long, h binary, doc binary, mark binary, meta binary")
+    met = blobs.groupBy("range").applyInPandas(tidy_group(meet), "batch long, doc binary, hits binary, meta binary")
+    return met.groupBy("batch").applyInPandas(tidy_group(gather), "doc_id long, node long, n int, anchors binary")
 
 
 def segments(docs: DataFrame, hits: DataFrame, window: int, n_ranges: int) -> DataFrame:
@@ -154,7 +154,7 @@ def segments(docs: DataFrame, hits: DataFrame, window: int, n_ranges: int) -> Da
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.join(hits, "doc_id").select("doc_id", "text", "lists").mapInArrow(run, "anchor long, seg long, doc_id long, node long, start int, words binary")
+    return docs.join(hits, "doc_id").select("doc_id", "text", "lists").mapInArrow(tidy(run), "anchor long, seg long, doc_id long, node long, start int, words binary")
 
 
 class SuffixAutomaton:
@@ -244,12 +244,12 @@ def least_documents(found: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(("anchor", "seg", "first", "i", "words"), r)) for r in rows], schema=pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int64()), ("i", pa.int32()), ("words", pa.binary())]))
 
     schema, cols = "anchor long, seg long, least binary", ("anchor", "seg", "first", "words")
-    single = known.filter("segs = 1").select(*cols).mapInArrow(alone, schema)
+    single = known.filter("segs = 1").select(*cols).mapInArrow(tidy(alone), schema)
     some = known.filter(f"segs BETWEEN 2 AND {HOT_SEGMENTS}").select(*cols, F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    some = some.groupBy("shard").applyInPandas(_plain(by_automaton), schema)
+    some = some.groupBy("shard").applyInPandas(tidy_group(by_automaton), schema)
     out = single.unionByName(some)
     if not known.filter(f"segs > {HOT_SEGMENTS}").isEmpty():
-        piece = known.filter(f"segs > {HOT_SEGMENTS}").select(*cols).mapInArrow(cut, "anchor long, seg long, first long, i int, words binary")
+        piece = known.filter(f"segs > {HOT_SEGMENTS}").select(*cols).mapInArrow(tidy(cut), "anchor long, seg long, first long, i int, words binary")
         piece = stored(piece.select("anchor", "seg", "first", "i", F.xxhash64("words").alias("x"), F.xxhash64(F.reverse(F.hex("words"))).alias("y")), "dedup-hot")
         least = piece.groupBy("x", "y").agg(F.min("first").alias("least"))
         listed = piece.join(least, ["x", "y"]).groupBy("anchor", "seg").agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("all"))
@@ -258,7 +258,7 @@ def least_documents(found: DataFrame, window: int) -> DataFrame:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, "<i8").tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["anchor", "seg", "least"])
 
-        out = out.unionByName(listed.select("anchor", "seg", F.transform("all", lambda x: x["least"]).alias("all")).mapInArrow(pack, schema))
+        out = out.unionByName(listed.select("anchor", "seg", F.transform("all", lambda x: x["least"]).alias("all")).mapInArrow(tidy(pack), schema))
     return out
 
 
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "node", "starts"])
 
-    marks = found.select("anchor", "seg", "doc_id", "node", "start").join(least, ["anchor", "seg"]).select("doc_id", "node", "start", "least").mapInArrow(mark, "doc_id long, node long, starts binary")
+    marks = found.select("anchor", "seg", "doc_id", "node", "start").join(least, ["anchor", "seg"]).select("doc_id", "node", "start", "least").mapInArrow(tidy(mark), "doc_id long, node long, starts binary")
     copies = named.filter(f"rep < doc_id AND n >= {window}").select("doc_id", "node", F.lit(None).cast("binary").alias("starts"))
     verdicts = marks.unionByName(copies).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("node", "starts")).alias("__marks"))
     both = docs.select(*[docs[f"`{c}`"] for c in keep])
@@ -325,4 +325,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
 
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return joined.mapInArrow(take_out, T.StructType([*types.fields, *new]))
+    return joined.mapInArrow(tidy(take_out), T.StructType([*types.fields, *new]))

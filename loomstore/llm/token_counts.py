@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .shared import tidy
 from .textops import chunks, string_buffers
 
 STRIDE = 1024
@@ -77,4 +78,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_bytes long, n_chars long, n_tokens long, fits_chars long" + ", prefix_counts binary" * keep_prefixes
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)

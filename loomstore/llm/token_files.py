@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .shared import tidy
 from .textops import chunks, string_buffers
 
 BLOCK_BYTES = 4 << 20
@@ -114,7 +115,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
             yield close()
 
     ordered = docs.repartitionByRange(*([partitions] if partitions else []), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidy(run), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 BLOCK_NAMES = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
@@ -175,7 +176,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if docs[0]:
                     yield _doc_rows(docs)
 
-    return blocks.join(index, "block").select("start", *BLOCK_NAMES).mapInArrow(run_, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(index, "block").select("start", *BLOCK_NAMES).mapInArrow(tidy(run_), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _doc_rows(cols) -> pa.RecordBatch:
