@@ -10,7 +10,9 @@
    one of the first m + 1 of each.
 4. Candidates are first taken against one pivot for each prefix n-gram, a number linear in the prefixes. Then
    components are contracted, and only pairs of nodes of different components that share a prefix n-gram
-   are left; these are all tried. So no link that joins components is lost, and no group is expanded into all its pairs.
+   are left. Of these, two bounds drop pairs that cannot be linked: at the first n-gram two nodes share, what follows
+   in the order must hold the overlap; and parity signatures of the sets differ in at most as many bits as the sets
+   in n-grams. All others are tried, so no link that joins components is lost.
 5. A pair is decided by vertical partitions: the global order is cut into fragments, overlaps are counted
    in each fragment by itself, and summed for each pair; the test is in whole numbers.
 """
@@ -33,6 +35,7 @@ from .textops import chunks, document_grams, string_buffers, word_hashes, words
 RANGE_TOKENS = 2_000_000
 BATCH_BYTES, BATCH_DOCS = 8 << 20, 16_384
 FRAGMENTS = 8
+PARITY_WORDS = 16  # longs of a parity signature; a power of two
 META = np.dtype([("doc_id", "<i8"), ("null", "?"), ("n", "<i4"), ("node", "<i8")])
 
 
@@ -145,6 +148,29 @@ def node_sets(docs: DataFrame, nodes: DataFrame, k: int, key: str = "doc_id", te
     return mine.mapInArrow(tidy(run), "node long, n int, grams array<long>")
 
 
+def parities(nodes: DataFrame) -> DataFrame:
+    """(node, grams) -> (node, s0, s1, ...): bit i is set where an odd number of the grams fall on i."""
+    names = [f"s{i}" for i in range(PARITY_WORDS)]
+    bits = PARITY_WORDS * 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1)
+            flat = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(len(grams)), np.diff(grams.offsets.to_numpy()))
+            odd = np.bincount(row * bits + (flat % np.uint64(bits)).astype(np.int64), minlength=len(grams) * bits) & 1
+            sig = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(grams), PARITY_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x)) for x in sig.T)], names=["node", *names])
+
+    return nodes.select("node", "grams").mapInArrow(tidy(run), ", ".join(f"{x} long" for x in ["node", *names]))
+
+
+def _differ(x: str, y: str) -> Column:
+    """A lower bound of the number of n-grams in one of two sets only: each's own n-grams, and the bits in which the signatures of the others differ."""
+    own = F.col(f"{x}.n") - F.col(f"{x}.c") + F.col(f"{y}.n") - F.col(f"{y}.c")
+    return sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(PARITY_WORDS)), own)
+
+
 def _enough(least: Column, n1: Column, n2: Column, num: int, den: int) -> Column:
     """Can an overlap of `least` reach num/den of the union?"""
     return (num + den) * least >= num * (n1.cast("long") + n2.cast("long"))
@@ -169,7 +195,7 @@ def link(sets: DataFrame, num: int, den: int) -> DataFrame:
     # Not those with more shingles of their own than a link can miss.
     common = stored(common.withColumn("c", F.size("g")).filter(den * F.col("c").cast("long") >= num * long_n), "join-nodes")
     prefix = F.slice("g", F.lit(1), F.greatest(F.lit(0), miss + 1 - (F.col("n") - F.col("c"))).cast("int"))
-    posts = stored(common.select("node", "n", "c", F.explode(prefix).alias("t")).select(F.col("t.h").alias("h"), "node", "n", "c"), "join-prefixes")
+    posts = stored(common.select("node", "n", "c", F.posexplode(prefix).alias("at", "t")).select(F.col("t.h").alias("h"), "node", "n", "c", "at"), "join-prefixes")
 
     def fragment(f: int) -> Column:
         """Contiguous in the order (df under 4 or not, hash)."""
@@ -192,11 +218,17 @@ def link(sets: DataFrame, num: int, den: int) -> DataFrame:
     links = stored(verified(tried, segments, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "join-links")
     parts = stored(components(links), "join-parts")
 
-    named = posts.join(parts, "node", "left").select("h", "node", "n", "c", F.coalesce("component", "node").alias("part"))
+    named = posts.join(parts, "node", "left").select("h", "node", "n", "c", "at", F.coalesce("component", "node").alias("part"))
     mixed = named.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("h")
     left = stored(named.join(mixed, "h", "left_semi"), "join-rest")
+    signed = parities(common.join(left.select("node").distinct(), "node", "left_semi").select("node", F.transform("g", lambda t: t["h"]).alias("grams")))
+    left = stored(left.join(signed, "node"), "join-rest-signed")
     x, y = left.alias("x"), left.alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") < F.col("y.part")) & _enough(F.least("x.c", "y.c"), F.col("x.n"), F.col("y.n"), num, den))
+    sizes = F.col("x.n").cast("long") + F.col("y.n")
+    # At the first n-gram that both have, the overlap is in what follows; there the pair is found, if it is linked.
+    follows = _enough(F.least(F.col("x.c") - F.col("x.at"), F.col("y.c") - F.col("y.at")), F.col("x.n"), F.col("y.n"), num, den)
+    close = (num + den) * _differ("x", "y").cast("long") <= (den - num) * sizes
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") < F.col("y.part")) & follows & close)
     rest = ordered(met.select(F.col("x.node").alias("node"), F.col("x.n").alias("n"), F.col("y.node").alias("pn"), F.col("y.n").alias("pnn")), "node", "n", "pn", "pnn")
     rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(rest, segments, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))
