@@ -64,25 +64,32 @@ def attach(tensors: DataFrame, threshold: float = 0.70, coeffs=COEFFS, d: int =
 
 
 def matrix(sketches: np.ndarray, n_bits: int, coeffs=COEFFS, d: int = 2) -> np.ndarray:
-    """Predicted ratio of i against base j; zeros on the diagonal."""
+    """Predicted ratio of i against base j; zeros on the diagonal. Made by blocks of rows, so that no more than the result is as large as the result."""
     f = sketches.astype(np.int64)
     sq = np.einsum("ij,ij->i", f, f)
-    out = ratios((sq[:, None] + sq[None] - 2 * (f @ f.T)) / (d * max(n_bits, 1)), coeffs)
+    if sq.max(initial=0) < 1 << 51:  # exact in doubles, whose product is many times as fast
+        f, sq = f.astype(float), sq.astype(float)
+    out = np.empty((len(f), len(f)))
+    for i in range(0, len(f), 256):
+        out[i : i + 256] = ratios((sq[i : i + 256, None] + sq[None] - 2 * (f[i : i + 256] @ f.T)) / (d * max(n_bits, 1)), coeffs)
     np.fill_diagonal(out, 0)
     return out
 
 
 def open_bases(r: np.ndarray, min_ratio: float = 0.0) -> list[int]:
-    """Bases opened by splitting off, again and again, the member that saves most. An explicit stack; all candidates' gains in one step of numpy."""
+    """Bases opened by splitting off, again and again, the member that saves most. An explicit stack; all candidates' gains in numpy, by blocks."""
     bases, todo = [0], [(np.arange(1, len(r)), 0)]
     while todo:
         members, base = todo.pop(0)
         if not len(members):
             continue
         now = r[members, base]
-        saved = np.maximum(now[:, None] - r[np.ix_(members, members)], 0)
-        np.fill_diagonal(saved, 0)
-        gain = saved.sum(0) - (1 - now)
+        gain = np.empty(len(members))
+        for i in range(0, len(members), 256):
+            saved = np.maximum(now[:, None] - r[np.ix_(members, members[i : i + 256])], 0)
+            saved[np.arange(i, i + saved.shape[1]), np.arange(saved.shape[1])] = 0
+            gain[i : i + 256] = saved.sum(0)
+        gain -= 1 - now
         j = int(gain.argmax())
         if gain[j] <= 0 or gain[j] / max(1 + now.sum(), 1e-9) < min_ratio:
             continue

@@ -1,7 +1,7 @@
 """Safetensors files as a Spark data source, and blobs as files: A1, A2, A5, A9-A14.
 
-A file is an 8-byte little-endian header length, a JSON header (name -> dtype, shape, data_offsets) and raw bytes. The reader has
-a partition for each file; a filter on ``name`` is pushed into it, so that other payloads aren't read.
+A file is an 8-byte little-endian header length, a JSON header (name -> dtype, shape, data_offsets) and raw bytes. The reader deals
+files to partitions, so many in each; a filter on ``name`` is pushed into it, so that other payloads aren't read.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -52,9 +53,10 @@ def write_file(path: str, tensors: dict[str, tuple[str, list[int], bytes]], meta
         at += len(data)
     raw = json.dumps(head).encode()
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.part", "wb") as f:
+    part = f"{path}.{uuid.uuid4().hex}.part"  # two tasks may write the same content at once
+    with open(part, "wb") as f:
         f.write(struct.pack("<Q", len(raw)) + raw + b"".join(tensors[n][2] for n in sorted(tensors)))
-    os.replace(f"{path}.part", path)
+    os.replace(part, path)
 
 
 def pick_key(names: list[str], shapes: dict[str, list[int]], shape: list[int] | None = None) -> str:
@@ -73,9 +75,12 @@ def blob_path(root: str, tensor_id: str) -> str:
     return f"{root}/blobs/{tensor_id[:2]}/{tensor_id[2:4]}/{tensor_id}.safetensors"
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+class _Files(InputPartition):
+    #: Of a partition. One more is begun when the next file would pass either.
+    MOST, BYTES = 512, 64 << 20
+
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
 
 
 class _Reader(DataSourceReader):
@@ -92,11 +97,20 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         if os.path.isfile(self.path):
-            return [_File(self.path)]
-        return [_File(os.path.join(d, x)) for d, _, files in sorted(os.walk(self.path)) for x in sorted(files) if x.endswith(".safetensors")]
+            return [_Files([self.path])]
+        out, room = [], 0
+        for path in (os.path.join(d, x) for d, _, files in sorted(os.walk(self.path)) for x in sorted(files) if x.endswith(".safetensors")):
+            n = os.path.getsize(path)
+            if not out or len(out[-1]) == _Files.MOST or n > room:
+                out.append([])
+                room = _Files.BYTES
+            out[-1].append(path)
+            room -= n
+        return [_Files(paths) for paths in out]
 
     def read(self, partition):
-        yield from slots(partition.value, self.names)
+        for path in partition.value:
+            yield from slots(path, self.names)
 
 
 class SafetensorsSource(DataSource):
@@ -118,10 +132,10 @@ def read(spark, path: str) -> DataFrame:
 
 
 def write_blobs(tensors: DataFrame, root: str) -> None:
-    """A5: (id, dtype, shape, payload) to content-addressed files under a shared root"""
+    """A5: (id, dtype, shape, payload) to content-addressed files under a shared root; equal ids are one file"""
 
     def put(rows) -> None:
         for r in rows:
             write_file(blob_path(root, r["id"]), {"tensor": (r["dtype"], list(r["shape"]), bytes(r["payload"]))}, {"id": r["id"]})
 
-    tensors.select("id", "dtype", "shape", "payload").foreachPartition(put)
+    tensors.select("id", "dtype", "shape", "payload").dropDuplicates(["id"]).foreachPartition(put)

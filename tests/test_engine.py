@@ -3,6 +3,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -62,3 +63,23 @@ def test_stream_is_the_batch_plan(spark):
 def test_shards(spark):
     got = QUERIES["a16_shards"](spark, D)
     assert got.groupBy("model", "shard").sum("size_bytes").filter("`sum(size_bytes)` > 100000").join(got.groupBy("model", "shard").count().filter("count > 1"), ["model", "shard"]).isEmpty()
+
+
+def test_no_tensor_is_left_out(spark):
+    from loomstore.plans.tensors import tensors
+
+    e = spark.read.parquet(f"{D}/embeddings.parquet")
+    assert QUERIES["a01_safetensors"](spark, D).count() == e.select("embedding").distinct().count()
+    size = {r["label"]: r["count"] for r in e.withColumn("label", e.label.cast("string")).groupBy("label").count().collect()}
+    t = tensors(spark, D).toPandas().sort_values("ord")
+    from loomstore.operators import facility, planner
+
+    r = {k: planner.matrix(np.stack(x.sketch.to_numpy()), int(x.n_bits.iloc[0])) for k, x in t.groupby("group_key")}
+    assert {k: len(x) for k, x in r.items()} == size
+    for row in QUERIES["g06_facility"](spark, D).filter("method = 'greedy'").collect():
+        assert row["cost"] == round(facility.cost(r[row["group_key"]], facility.greedy(r[row["group_key"]])), 9)
+    s = {k: np.stack(x.sketch.to_numpy()) for k, x in t.groupby("group_key")}
+    for row in QUERIES["e13_ratio_by_param"](spark, D).filter("m <> '0'").collect():
+        n = min(size["0"], size[row["m"]])  # every parameter that both have
+        want = planner.ratios(((s["0"][:n].astype(int) - s[row["m"]][:n]) ** 2).sum(1) / 2 / t.n_bits.iloc[0]).mean()
+        assert abs(row["vs_first"] - want) < 1e-9

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -83,3 +84,15 @@ def test_solvers_against_exhaustive():
 
 def test_curve_is_known_at_zero():
     assert exprs.KNEE > 0
+
+
+def test_solvers_take_a_large_group():
+    rng = np.random.default_rng(3)
+    x = rng.random((1500, 3))
+    r = np.clip(facility.euclidean(x), 0, 1)
+    np.fill_diagonal(r, 0)
+    start = time.time()
+    plans = [f(r) for f in (facility.one_more, facility.greedy, facility.primal_dual, planner.open_bases)]
+    assert time.time() - start < 60 and facility.cost(r, plans[1]) <= min(facility.cost(r, p) for p in plans) * 1.05
+    b = plans[1]  # no single move helps
+    assert min(facility.cost(r, [y for y in b if y != x] + [c]) for x in b for c in range(0, 1500, 7) if c not in b) >= facility.cost(r, b) - 1e-9
