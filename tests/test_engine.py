@@ -83,3 +83,26 @@ def test_no_tensor_is_left_out(spark):
         n = min(size["0"], size[row["m"]])  # every parameter that both have
         want = planner.ratios(((s["0"][:n].astype(int) - s[row["m"]][:n]) ** 2).sum(1) / 2 / t.n_bits.iloc[0]).mean()
         assert abs(row["vs_first"] - want) < 1e-9
+
+
+@pytest.mark.parametrize("budget, max_pairs", [(0, None), (400, None), (3000, None), (10**6, None), (3000, 150)])
+def test_budget_looks_at_every_pair(spark, budget, max_pairs):
+    from pyspark.sql import functions as F
+
+    from loomstore.operators import facility
+
+    rng = np.random.default_rng(5)
+    size = {i: int(n) for i, n in enumerate(rng.integers(1, 60, 300))}
+    size[7] = 0
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 310, (4000, 2))]
+    df = spark.createDataFrame(pairs, "target long, base long")
+    order = df.withColumn("o", F.xxhash64("target", "base")).orderBy("o", "target", "base").collect()
+    have, used, want = set(), 0, []
+    for t, b, _ in order:
+        if t in size and b in size:
+            new = {t, b} - have
+            if used + sum(size[i] for i in new) <= budget and (max_pairs is None or len(want) < max_pairs):
+                have, used = have | new, used + sum(size[i] for i in new)
+                want.append((t, b))
+    got = facility.within_budget(df, spark.createDataFrame(list(size.items()), "id long, size long"), budget, max_pairs, block=50)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
