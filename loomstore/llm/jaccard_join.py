@@ -177,16 +177,16 @@ def _enough(least: Column, n1: Column, n2: Column, num: int, den: int) -> Column
 
 
 def verified(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose overlap, counted in fragments and summed, reaches num/den of the union."""
+    """The pairs (a, b, na, nb) whose overlap o, counted in fragments and summed, reaches num/den of the union."""
     one = pairs.join(segments.withColumnRenamed("node", "a").withColumnRenamed("segment", "sa"), "a")
     two = one.join(segments.withColumnRenamed("node", "b").withColumnRenamed("segment", "sb"), ["b", "fragment"])
     partial = two.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"))
     whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
-    return whole.filter(den * F.col("o") >= num * (F.col("na").cast("long") + F.col("nb") - F.col("o"))).select("a", "b")
+    return whole.filter(den * F.col("o") >= num * (F.col("na").cast("long") + F.col("nb") - F.col("o")))
 
 
-def link(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets (node, n, grams) -> (node, component) of the nodes that have a link."""
+def _postings(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of sets (node, n, grams): the nodes that may have a link with their n-grams in the global order, the postings of their prefixes, and all their n-grams in fragments."""
     long_n = F.col("n").cast("long")
     miss = long_n - F.ceil(long_n * num / den).cast("long")
     tokens = sets.select("node", "n", F.explode("grams").alias("h"))
@@ -206,21 +206,16 @@ def link(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     cut = F.explode(F.array(*[F.struct(F.lit(f).alias("fragment"), fragment(f).alias("segment")) for f in range(FRAGMENTS)]))
     segments = common.select("node", cut.alias("s")).select("node", "s.fragment", "s.segment").filter(F.size("segment") > 0)
+    return common, posts, segments
 
-    pivots = posts.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("own"), "node", "n", "c")).alias("p"), F.count(F.lit(1)).alias("posts")).filter("posts > 1")
-    near = posts.join(pivots.select("h", "p"), "h").filter(F.col("node") != F.col("p.node")).filter(_enough(F.least("c", "p.c"), F.col("n"), F.col("p.n"), num, den))
 
-    def ordered(df: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
-        flip = F.col(x) > F.col(y)
-        return df.select(F.when(flip, F.col(y)).otherwise(F.col(x)).alias("a"), F.when(flip, F.col(x)).otherwise(F.col(y)).alias("b"), F.when(flip, F.col(ny)).otherwise(F.col(nx)).alias("na"), F.when(flip, F.col(nx)).otherwise(F.col(ny)).alias("nb")).distinct()
+def _ordered(df: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
+    flip = F.col(x) > F.col(y)
+    return df.select(F.when(flip, F.col(y)).otherwise(F.col(x)).alias("a"), F.when(flip, F.col(x)).otherwise(F.col(y)).alias("b"), F.when(flip, F.col(ny)).otherwise(F.col(nx)).alias("na"), F.when(flip, F.col(nx)).otherwise(F.col(ny)).alias("nb")).distinct()
 
-    tried = stored(ordered(near.select("node", "n", F.col("p.node").alias("pn"), F.col("p.n").alias("pnn")), "node", "n", "pn", "pnn"), "join-pairs")
-    links = stored(verified(tried, segments, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "join-links")
-    parts = stored(components(links), "join-parts")
 
-    named = posts.join(parts, "node", "left").select("h", "node", "n", "c", "at", F.coalesce("component", "node").alias("part"))
-    mixed = named.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("h")
-    left = stored(named.join(mixed, "h", "left_semi"), "join-rest")
+def _met(left: DataFrame, common: DataFrame, apart: str, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, na, nb) of postings that share a prefix n-gram, differ in `apart`, and may be linked by position and by parity signatures."""
     signed = parities(common.join(left.select("node").distinct(), "node", "left_semi").select("node", F.transform("g", lambda t: t["h"]).alias("grams")))
     left = stored(left.join(signed, "node"), "join-rest-signed")
     x, y = left.alias("x"), left.alias("y")
@@ -228,9 +223,30 @@ def link(sets: DataFrame, num: int, den: int) -> DataFrame:
     # At the first n-gram that both have, the overlap is in what follows; there the pair is found, if it is linked.
     follows = _enough(F.least(F.col("x.c") - F.col("x.at"), F.col("y.c") - F.col("y.at")), F.col("x.n"), F.col("y.n"), num, den)
     close = (num + den) * _differ("x", "y").cast("long") <= (den - num) * sizes
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") < F.col("y.part")) & follows & close)
-    rest = ordered(met.select(F.col("x.node").alias("node"), F.col("x.n").alias("n"), F.col("y.node").alias("pn"), F.col("y.n").alias("pnn")), "node", "n", "pn", "pnn")
-    rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col(f"x.{apart}") < F.col(f"y.{apart}")) & follows & close)
+    return _ordered(met.select(F.col("x.node").alias("node"), F.col("x.n").alias("n"), F.col("y.node").alias("pn"), F.col("y.n").alias("pnn")), "node", "n", "pn", "pnn")
+
+
+def class_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets (node, n, grams) -> (a, b, na, nb, o): every linked pair of nodes once, a < b, with its counted overlap. As many rows as links: a group of m that all link has m (m - 1) / 2."""
+    common, posts, segments = _postings(sets, num, den)
+    return verified(stored(_met(posts, common, "node", num, den), "join-pairs"), segments, num, den)
+
+
+def link(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets (node, n, grams) -> (node, component) of the nodes that have a link. Not all links are counted for that; class_links has them."""
+    common, posts, segments = _postings(sets, num, den)
+    pivots = posts.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("own"), "node", "n", "c")).alias("p"), F.count(F.lit(1)).alias("posts")).filter("posts > 1")
+    near = posts.join(pivots.select("h", "p"), "h").filter(F.col("node") != F.col("p.node")).filter(_enough(F.least("c", "p.c"), F.col("n"), F.col("p.n"), num, den))
+
+    tried = stored(_ordered(near.select("node", "n", F.col("p.node").alias("pn"), F.col("p.n").alias("pnn")), "node", "n", "pn", "pnn"), "join-pairs")
+    links = stored(verified(tried, segments, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")), "join-links")
+    parts = stored(components(links), "join-parts")
+
+    named = posts.join(parts, "node", "left").select("h", "node", "n", "c", "at", F.coalesce("component", "node").alias("part"))
+    mixed = named.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("h")
+    left = stored(named.join(mixed, "h", "left_semi"), "join-rest")
+    rest = _met(left, common, "part", num, den).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(rest, segments, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))
     return components(links.unionByName(more))
 
@@ -251,3 +267,23 @@ def cluster(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str
     known = nodes.filter("may").join(by_node, "node").select("doc_id", "n", "component_id")
     alone = nodes.filter("NOT may").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return known.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links, as (pairs, members), with the rules of cluster().
+
+    pairs: (a, b, n_a, n_b, overlap) of linked classes, a < b, each once. A class is all rows with the same set of shingles.
+    members: (doc_id, n_shingles, class_id, n_links) for each row of docs; n_links counts the other rows of its class and all rows
+    of the classes linked to it. Rows without words, or without a doc_id, have no link; class_id is null for those without words.
+    """
+    nodes = stored(document_nodes(docs, k, num, den, key, text), "join-documents")
+    may = nodes.filter("may")
+    reps = may.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    pairs = stored(class_links(stored(node_sets(docs, reps, k, key, text), "join-sets"), num, den), "join-links")
+    size = may.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    both = pairs.select(F.col("a").alias("to"), F.col("b").alias("node")).unionByName(pairs.select(F.col("b").alias("to"), F.col("a").alias("node")))
+    other = both.join(size, "node").groupBy(F.col("to").alias("node")).agg(F.sum("size").alias("other"))
+    count = size.join(other, "node", "left").select("node", F.lit(True).alias("may"), (F.col("size") - 1 + F.coalesce("other", F.lit(0))).alias("links"))
+    members = nodes.join(count, ["node", "may"], "left")
+    members = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return pairs.select("a", "b", F.col("na").alias("n_a"), F.col("nb").alias("n_b"), F.col("o").alias("overlap")), members

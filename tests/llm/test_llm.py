@@ -181,6 +181,23 @@ def test_jaccard_join(docs, none, k, num):
     assert jaccard_join.cluster(none, k, num, 100).count() == 0
 
 
+@pytest.mark.parametrize("k,num", [(4, 85), (2, 60)])
+def test_jaccard_join_counts_every_link(spark, k, num):
+    base = [f"w{i}" for i in range(200)]
+    group = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 200, 20)]  # all alike, in one component
+    rows = list(enumerate([" ".join(base), *group, group[0], group[0].upper(), "", None, "one", "one", "a lone text of its own", *(" ".join(base[j:]) for j in (3, 9, 15, 30))]))
+    sets, _ = components_of(rows, k, num, 100)
+    over = lambda a, b: len(sets[a] & sets[b])
+    linked = {(a, b) for a in sets for b in sets if a != b and sets[a] and sets[b] and 100 * over(a, b) >= num * len(sets[a] | sets[b])}
+    pairs, members = jaccard_join.links(spark.createDataFrame(rows, "doc_id long, text string"), k, num, 100)
+    members = {r["doc_id"]: r for r in members.collect()}
+    assert {i: m["n_links"] for i, m in members.items()} == {i: sum(a == i for a, _ in linked) for i in sets}
+    cls = {i: m["class_id"] for i, m in members.items()}
+    want = {(*sorted((cls[a], cls[b])), over(a, b)) for a, b in linked if cls[a] != cls[b]}
+    got = [(r["a"], r["b"], r["overlap"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 45
+
+
 @pytest.mark.parametrize("window", [13, 5])
 def test_substring_dedup(docs, none, window):
     got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, window).collect()}
