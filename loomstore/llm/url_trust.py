@@ -6,7 +6,7 @@ is blocked where its distrust is above `margin` times its trust; a host that nei
 
 Edges are pre-aggregated to one row for each pair of hosts before anything else, so a host with a third of
 all pages is as many edges as it has distinct neighbours. Rank vectors are small beside pages; their
-lineage is cut by a checkpoint every few rounds.
+lineage is cut by a checkpoint every few rounds, where it is also tested whether they have settled.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.\-]*://[^"'\s>]+)"""
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -41,26 +41,40 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst, links) between different hosts, by the absolute links of the pages; pages and links without a host count for nothing."""
+    """(src, dst, links) between different hosts, by the links of the pages that name a host, with a scheme or as //host; pages and links without a host count for nothing."""
     links = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(LINK), 1)).alias("to"))
-    return links.select("src", host_of(F.col("to")).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
+    to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))  # only the host is looked at
+    return links.select("src", host_of(to).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, cut: int = 4) -> DataFrame:
-    """Personalised PageRank (host, rank) along edges (src, dst, links) from seeds (host, rank)."""
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float = 1e-6, cut: int = 4) -> DataFrame:
+    """Personalised PageRank (host, rank) along edges (src, dst, links) from seeds (host, rank).
+
+    Rounds go on until no host's rank changes by more than `tolerance` of itself; a host that is reached for the first time changes
+    by all of it. So neither the number of seeds nor the distance to them decides which hosts have a rank.
+    """
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     share = settle(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share")))
     base = seeds.select("host", (F.col("rank") * (1 - damping)).alias("rank"))
     rank = seeds
-    for i in range(rounds):
-        moved = rank.join(share, rank.host == share.src).groupBy("dst").agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
-        rank = moved.select(F.col("dst").alias("host"), "rank").unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % cut == cut - 1:
-            rank = settle(rank)
-    return rank
+    while True:
+        for _ in range(cut):
+            before = rank
+            moved = rank.join(share, rank.host == share.src).groupBy("dst").agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
+            rank = moved.select(F.col("dst").alias("host"), "rank").unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank")).filter("rank > 0")
+        # Ranks of both ends of the last round, cut from their lineage at once.
+        both = settle(rank.withColumn("was", F.lit(0.0)).unionByName(before.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")))
+        rank = both.filter("rank > 0").select("host", "rank")
+        if both.filter(F.abs(F.col("rank") - F.col("was")) > tolerance * F.greatest("rank", "was")).isEmpty():
+            return rank
+
+
+def digits(x: Column, n: int = 12) -> Column:
+    """x to n digits from its first on, so that sums in another order give the same value however small it is."""
+    return F.format_string(f"%.{n - 1}e", x).cast("double")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", html: str = "html", rounds: int = 8, damping: float = 0.85, margin: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", html: str = "html", damping: float = 0.85, margin: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each page.
 
     Null urls and urls without :// have an empty host and path; they fit no rule and are allowed. Null
@@ -77,10 +91,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "p
         total = some.agg(F.sum(col)).first()[0] or 1.0
         return some.select("host", (F.col(col) / total).alias("rank"))
 
-    trust = spread(edges, seeds("good"), rounds, damping)
+    trust = spread(edges, seeds("good"), damping, tolerance)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = spread(back, seeds("bad"), rounds, damping)
-    marks = settle(trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full_outer").select("host", F.round(F.coalesce("trust", F.lit(0.0)), 12).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 12).alias("distrust")))
+    distrust = spread(back, seeds("bad"), damping, tolerance)
+    marks = settle(trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full_outer").select("host", digits(F.coalesce("trust", F.lit(0.0))).alias("trust"), digits(F.coalesce("distrust", F.lit(0.0))).alias("distrust")))
     out = judged.join(marks, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     own = F.when(F.col("distrust") > F.lit(margin) * F.col("trust"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", own).alias("verdict"), "trust", "distrust")

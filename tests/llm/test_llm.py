@@ -154,6 +154,24 @@ def test_url_trust(spark):
         assert abs(r["trust"] - trust.get(r["host"], 0)) < 1e-9 and abs(r["distrust"] - bad.get(r["host"], 0)) < 1e-9
 
 
+def test_url_trust_does_not_depend_on_size(spark):
+    link = lambda *h: "".join(f'<a href="{x}">x</a>' for x in h)
+    chain = [(f"http://c{i}.org/", link(f"//c{i - 1}.org/p?u=http://other.net/")) for i in range(1, 13)]  # c12 is twelve hops from a blocked host
+    small = [("http://c0.org/bad/", ""), *chain]
+    many = small + [(f"http://b{i}.org/bad/", "") for i in range(2000)] + [(f"http://f{i}.org/", link("http://c0.org/")) for i in range(500)]
+    rules = (("block", "org", "/bad/"),)
+    for rows in (small, many):
+        pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+        got = {r["host"]: r for r in url_trust.judge(pages, rules).collect()}
+        assert [got[f"c{i}.org"]["verdict"] for i in range(13)] == ["block"] * 13
+        seeds = sum("/bad/" in u for u, _ in rows)
+        share = 1 / 501 if rows is many else 1  # of c0's distrust, which goes to all that link to it
+        assert abs(got["c12.org"]["distrust"] / (0.15 / seeds * share * 0.85**12) - 1) < 1e-5
+    wheel = spark.createDataFrame([(0, "http://a.org/ok/", link("http://b.org/")), (1, "http://b.org/", link("http://a.org/"))], "page_id long, url string, html string")
+    got = {r["host"]: r["trust"] for r in url_trust.judge(wheel, (("allow", "org", "/ok/"),)).collect()}
+    assert abs(got["a.org"] - 1 / 1.85) < 1e-5 and abs(got["b.org"] - 0.85 / 1.85) < 1e-5
+
+
 def components_of(rows, k, num, den):
     sets = {}
     for i, t in rows:
