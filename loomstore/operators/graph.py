@@ -21,7 +21,7 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
 
 
 def closure(edges: DataFrame, start: DataFrame, max_hops: int = 1000) -> DataFrame:
-    """(tensor_id, base_id) edges -> (tensor_id, hop): all that start reaches, at its least hop. Each hop is settled by a checkpoint; ids seen before are left out, so a cycle ends."""
+    """(tensor_id, base_id) edges -> (tensor_id, hop): all that start reaches, at its least hop. Each hop is settled by a checkpoint; ids seen before are left out, so a cycle ends."""
     seen = start.select("tensor_id").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, max_hops + 1):

@@ -316,7 +316,7 @@ def d06(spark, d):
 
 @query("d08_closure", "WITH RECURSIVE c(id, hop) AS (SELECT doc_id, 0 FROM documents WHERE doc_id % 97 = 5 UNION SELECT id // 2, hop + 1 FROM c WHERE id > 0) SELECT id AS tensor_id, min(hop) AS hop FROM c GROUP BY 1")
 def d08(spark, d):
-    """D8, D9, D11"""
+    """D8, D11"""
     t = table(spark, d, "documents").select(F.col("doc_id").alias("tensor_id"))
     edges = t.filter("tensor_id > 0").selectExpr("tensor_id", "tensor_id DIV 2 AS base_id")
     return graph.closure(edges, t.filter("tensor_id % 97 = 5"))

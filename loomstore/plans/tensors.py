@@ -63,7 +63,7 @@ def k08(spark, d):
 
 @query("k09_roundtrip")
 def k09(spark, d):
-    """Encode against the neighbour, decode, compare"""
+    """Encode against the neighbour, decode, compare"""
     e = pairs(spark, d).withColumn("delta", K.delta_udf(4)("pa", "pb"))
     return e.select("x", "y", (F.octet_length("delta") / F.octet_length("pa")).alias("stored_fraction"), (K.undelta_udf(4)("delta", "pb") == F.col("pa")).alias("same"))
 

@@ -1,4 +1,4 @@
-"""Safetensors files as a Spark data source, and blobs as files: A1, A2, A5, A9-A14.
+"""Safetensors files as a Spark data source, and blobs as files: A1, A2, A5, A9, A10, A14.
 
 A file is an 8-byte little-endian header length, a JSON header (name -> dtype, shape, data_offsets) and raw bytes. The reader deals
 files to partitions, so many in each; a filter on ``name`` is pushed into it, so that other payloads aren't read.
