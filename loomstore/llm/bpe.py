@@ -1,9 +1,10 @@
 """Byte-pair encoding of whole batches: numpy splits a batch into words, each distinct word is encoded once.
 
 The split follows the two patterns of public tokenizers with byte alphabets (a leading space belongs
-to the next word; or white space is dropped and text lower-cased). It is done on code points from a
-verified range; a document with any other character, or with the string of a special token, is
-encoded by the ``tokenizers`` library itself. Results are those of that library in every case.
+to the next word; or white space is dropped and text lower-cased). Where white space is kept, the class of a
+character (space, letter, number, other) is asked of the library itself when the character is first seen. The
+lower-casing kind is split here for code points from a verified range; a document with any other character, or
+with the string of a special token, is encoded by the library. Results are those of the library in every case.
 
 ``prefix_counts`` is dynamic programming over the prefixes of a word. The encoding of a prefix ends
 in the one token that stands well (merges nothing across) after the encoding of what precedes it, so
@@ -19,12 +20,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 
+from .shared import held
 from .textops import mix, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SPACE, LETTER, NUMBER, OTHER, UNSAFE = range(5)
-MAX_WORDS = 600_000
+#: Bounds of what a worker remembers; beyond them it starts anew. They change speed only.
+MAX_WORDS, MAX_IDS, MAX_PAIRS = 300_000, 4_000_000, 400_000
 
 
 def _byte_alphabet() -> list[str]:
@@ -59,17 +62,18 @@ class BatchEncoder:
         self.table = str.maketrans({i: c for i, c in enumerate(self.alphabet)})
         pre = spec["pre_tokenizer"]
         self.spaced = pre["type"] == "ByteLevel"
+        ranges, unsafe = [], []
         if self.spaced:
             plain = spec["normalizer"] is None and pre["use_regex"] and not pre["add_prefix_space"]
-            ranges, unsafe = [(0, 0x300), (0x370, 0x530), (0x2010, 0x2028)], [*range(0x1C, 0x20)]
+            plain = plain and not any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
         else:
             plain = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
             ranges, unsafe = [(0, 0x300), (0x2010, 0x2028)], [*range(0x1C, 0x20), 0x130]
         if not plain or spec["post_processor"] is not None:
             raise ValueError(f"{path}: this kind of tokenizer file is not supported")
         self.cls = _classes(ranges, unsafe)
-        self.lower = np.arange(0x110000, dtype=np.uint32)
         if not self.spaced:
+            self.lower = np.arange(0x110000, dtype=np.uint32)
             for a, b in ranges:
                 for c in range(a, b):
                     if len(low := chr(c).lower()) == 1:
@@ -93,6 +97,13 @@ class BatchEncoder:
         self.p_index: dict[int, int] = {}
         self.p_off, self.p_len, self.p_flat, self.p_used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int16), 0
 
+    def _learn(self, cp: np.ndarray) -> None:
+        """Ask the library for the classes of characters not seen before."""
+        split = self.tok.pre_tokenizer.pre_tokenize_str
+        for c in np.unique(cp[self.cls[cp] == UNSAFE]).tolist():
+            alone = lambda x: len(split(x + chr(c))) == 1  # noqa: B023, E731
+            self.cls[c] = LETTER if alone("a") else NUMBER if alone("1") else OTHER if alone("!") else SPACE
+
     # -- splitting ---------------------------------------------------------------------------
 
     def _split(self, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +143,9 @@ class BatchEncoder:
         return starts, ends
 
     def _plain(self, texts: Sequence[str], cp: np.ndarray, bounds: np.ndarray) -> list[int]:
-        """Documents that need the library."""
+        """Documents that need more than the split: those with strings of special tokens or characters outside the verified range."""
+        if self.spaced:
+            self._learn(cp)
         bad = np.unique(np.searchsorted(bounds, np.flatnonzero(self.cls[cp] == UNSAFE), "right") - 1).tolist()
         if (cp == ord("<")).any():
             bad = sorted({*bad, *(i for i, t in enumerate(texts) if any(x in t for x in self.specials))})
@@ -165,7 +178,7 @@ class BatchEncoder:
         """The ids of each text (int32), without added special tokens."""
         if not len(texts):
             return []
-        if len(self.index) > MAX_WORDS:
+        if len(self.index) > MAX_WORDS or self.used > MAX_IDS:
             self._reset()
         cp, bounds, bad, starts, ends, code, uniq, word = self._words(texts)
         at = np.empty(len(uniq), np.int64)
@@ -197,7 +210,7 @@ class BatchEncoder:
         key = left << 20 | right
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
             ok = self.pairs[key] = [t.id for t in self.tok.model.tokenize(both.decode("latin-1").translate(self.table))] == [left, right]
         return ok
@@ -232,13 +245,16 @@ class BatchEncoder:
             before = b
         return out
 
-    def count_prefixes(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """For each text an int32 array: at i the token count of the encoding of text[:i], for 0 <= i <= len(text)."""
+    def count_prefixes(self, texts: Sequence[str], ordinary: bool = False) -> list[np.ndarray]:
+        """For each text an int32 array: at i the token count of the encoding of text[:i], for 0 <= i <= len(text). ordinary: strings of special tokens are text like any other.
+
+        Time and memory grow with the text, whatever its characters.
+        """
         if not self.spaced:
             raise ValueError("prefix counts need a tokenizer that keeps white space")
         if not len(texts):
             return []
-        if len(self.p_index) > MAX_WORDS:
+        if len(self.p_index) > MAX_WORDS or self.p_used > 2 * MAX_IDS:
             self._reset()
         cp, bounds, bad, starts, ends, code, uniq, word = self._words(texts)
         at = np.empty(len(uniq), np.int64)
@@ -279,8 +295,8 @@ class BatchEncoder:
             x = np.zeros(b - a + 1, np.int32)
             x[1:] = run[a:b] - base[i]
             out.append(x)
-        for i in bad:
-            out[i] = self._slow_prefixes(texts[i])
+        for i in bad if not ordinary else ():
+            out[i] = self._special_prefixes(texts[i])
         return out
 
     def _amend(self, cp, bounds, starts, ends, total, run) -> None:
@@ -296,21 +312,20 @@ class BatchEncoder:
         for w in three.tolist():
             run[starts[w] + 1] = total[w] + 2
 
-    def _slow_prefixes(self, text: str) -> np.ndarray:
-        """By the library, at every prefix up to the last place where nothing before it can change; quadratic only within such a stretch."""
-        enc = self.tok.encode(text, add_special_tokens=False)
-        out = np.zeros(len(text) + 1, np.int32)
-        # A line feed followed by a letter or digit ends a word in every prefix beyond it.
-        cuts = [0, *(i + 1 for i in range(len(text) - 1) if text[i] == "\n" and (text[i + 1].isalnum()) and (i == 0 or not text[i - 1].isspace())), len(text)]
-        if any(s in text for s in self.specials):
-            cuts = [0, len(text)]
-        done = 0
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            for i, e in enumerate(self.tok.encode_batch([text[a : a + j] for j in range(1, b - a + 1)], add_special_tokens=False)):
-                out[a + 1 + i] = done + len(e.ids)
-            done = int(out[b])
-        if len(text) and done != len(enc.ids):
-            raise AssertionError("prefix counts don't add up to the whole text's count")
+    def _special_prefixes(self, text: str) -> np.ndarray:
+        """For a text with strings of special tokens: each is one token from its end on, and before that, ordinary text that follows what precedes it."""
+        import regex
+
+        ends = [m.end() for m in regex.finditer("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))), text)]
+        starts = [0, *ends]
+        stretches = [text[a:b] for a, b in zip(starts, [*ends, len(text)])]
+        out, done = np.zeros(len(text) + 1, np.int32), 0
+        for i, (a, part, counts) in enumerate(zip(starts, stretches, self.count_prefixes(stretches, ordinary=True))):
+            out[a + 1 : a + len(part) + 1] = done + counts[1:]
+            if i < len(ends):
+                name = max((x for x in self.specials if part.endswith(x)), key=len)
+                done += int(counts[len(part) - len(name)]) + 1
+                out[ends[i]] = done
         return out
 
 
@@ -322,6 +337,7 @@ def _gather(flat: np.ndarray, off: np.ndarray, lens: np.ndarray, code: np.ndarra
 
 
 _encoders: dict[str, BatchEncoder] = {}
+held(_encoders.clear, "bpe")
 
 
 def encoder(path: str) -> BatchEncoder:

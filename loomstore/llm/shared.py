@@ -32,11 +32,22 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: like settle, in fewer bytes."""
+    small_batches(df.sparkSession)
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python workers in batches of ARROW_ROWS, where the session does not set another number than Spark's own: a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -49,10 +60,25 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(f):
-    """f for mapInArrow, with memory given back at the end of each task."""
+_held: dict = {}
+
+
+def held(clear, name: str) -> None:
+    """A module keeps something in the worker process under that name; clear() drops it."""
+    _held[name] = clear
+
+
+def drop_held(keep: tuple[str, ...] = ()) -> None:
+    for name, clear in _held.items():
+        if name not in keep:
+            clear()
+
+
+def tidy(f, keep: tuple[str, ...] = ()):
+    """f for mapInArrow, with memory given back at the end of each task; what other tasks kept in the worker is dropped but for `keep`."""
 
     def run(batches):
+        drop_held(keep)
         try:
             yield from f(batches)
         finally:
@@ -65,6 +91,7 @@ def tidy_group(f):
     """f for applyInPandas, with memory given back after each group. Without annotations, which Spark would try to read as its own kinds of functions."""
 
     def run(rows):
+        drop_held()
         try:
             return f(rows)
         finally:

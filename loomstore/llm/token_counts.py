@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .shared import tidy
+from .shared import small_batches, tidy
 from .textops import chunks, string_buffers
 
 STRIDE = 1024
@@ -54,8 +54,11 @@ def longest_within(blob: bytes, n_chars: int, budget: int) -> int:
 def count_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", budget: int = 512, keep_prefixes: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_chars, n_tokens, fits_chars (of the longest prefix within the budget) and, if asked, prefix_counts.
 
-    Null text is an empty one (0 tokens). Rows with equal keys stay rows of their own. One pass, no shuffle.
+    Null text is an empty one (0 tokens). Rows with equal keys stay rows of their own, and null keys stay null. An empty
+    table gives none. Other columns are not looked at. One pass, no shuffle; a very long text is one chunk of its own, in time
+    and memory that grow with its length, whatever its characters.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -78,4 +81,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_bytes long, n_chars long, n_tokens long, fits_chars long" + ", prefix_counts binary" * keep_prefixes
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run, ("bpe",)), schema)
