@@ -9,12 +9,14 @@ the end of a task one window may need padding, which is cut into tiers of powers
 
 Packing is local to a task: there is no shuffle, and a task holds the documents of a bounded pool.
 Windows get ids from the task's number and a counter, so a task that runs again gives the same ids.
-Windows of equal size are dealt in turn to step groups, which are thus of equal length.
+Windows of equal size are dealt in turn to step groups; each task and tier begins at another group, so what is left over by
+full turns falls on all groups alike, and the groups of a tier are of about equal length.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .shared import tidy
+from .shared import small_batches, tidy
 from .textops import chunks, string_buffers
 
 TIERS = (128, 256, 512, 1024)
@@ -117,6 +119,12 @@ class Packer:
             yield window
 
 
+def first_turns(task: int, tiers: Sequence[int], groups: int) -> dict[int, int]:
+    """The step group of a task's first window of each tier: tasks in a row begin `step` groups apart, which meets all groups, and tiers one further."""
+    step = next(s for s in range(max(1, groups * 5 // 8), 2 * groups + 2) if math.gcd(s, groups) == 1)
+    return {t: (task * step + i) % groups for i, t in enumerate(tiers)}
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -132,11 +140,13 @@ def pack(
     equal keys are documents of their own. An empty table gives none. Other columns are not looked at.
     """
     tiers = tuple(tiers)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(tokenizer_path), Packer(tiers)
-        made = TaskContext.get().partitionId() << 33
-        turn = {t: 0 for t in tiers}
+        task = TaskContext.get().partitionId()
+        made = task << 33
+        turn = first_turns(task, tiers, groups)
         rows: list[list] = [[] for _ in range(9)]
 
         def place(window) -> None:
@@ -173,7 +183,7 @@ def pack(
         if rows[0]:
             yield flush()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), PIECE_SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run, ("bpe",)), PIECE_SCHEMA)
 
 
 def ids_crc32(ids: Column) -> Column:
