@@ -5,7 +5,8 @@ A store is a folder in any file system that Spark reaches:
 ``dictionary`` one row: the dictionary's bytes, their SHA-256 and the id width.
 ``blocks``     rows in ascending document order; a row is a block of documents: block number, its
                first and last document, the index (document ids, frame offsets, id counts, as
-               little-endian integers), the dictionary's hash, and the frames end to end.
+               little-endian integers; how many documents, the first ones, have a null id), the
+               dictionary's hash, and the frames end to end.
 
 A document is read by its block (Parquet statistics on first_doc/last_doc find it), the offset index
 and one frame. A block is closed at BLOCK_BYTES, so a task's memory is bounded by that and one document.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .shared import tidy
+from .shared import small_batches, tidy
 from .textops import chunks, string_buffers
 
 BLOCK_BYTES = 4 << 20
@@ -34,7 +35,7 @@ SAMPLE_DOCS = 1000
 SAMPLE_IDS = 4096
 LEVEL = 3
 
-BLOCK_SCHEMA = "block long, first_doc long, last_doc long, n_docs int, n_ids long, dict_sha256 string, doc_ids binary, frame_offsets binary, counts binary, frames binary"
+BLOCK_SCHEMA = "block long, first_doc long, last_doc long, n_docs int, n_ids long, dict_sha256 string, doc_ids binary, frame_offsets binary, counts binary, frames binary, n_null int"
 
 
 def serialize(ids: np.ndarray) -> bytes:
@@ -47,8 +48,9 @@ def train(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
     # The keys first: a sort for the smallest sends that many rows from each task, which should not be texts.
     keys = {r[0] for r in docs.filter(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).collect()}
-    rows = docs.filter(F.col(key).isin(sorted(keys))).limit(SAMPLE_DOCS).select(F.substring(text, 1, 8 * SAMPLE_IDS)).collect() if keys else []
-    ids = encoder(tokenizer_path).encode([r[0] or "" for r in rows])
+    head = F.coalesce(F.substring(text, 1, 8 * SAMPLE_IDS), F.lit(""))
+    rows = docs.filter(F.col(key).isin(sorted(keys))).groupBy(key).agg(F.min(F.struct(F.xxhash64(text), head)).alias("t")).select(key, "t.*").collect() if keys else []  # one text of a repeated key
+    ids = encoder(tokenizer_path).encode([r[2] for r in sorted(rows)])
     try:
         return zstandard.train_dictionary(DICT_BYTES, [serialize(x[:SAMPLE_IDS]) for x in ids if len(x) >= 2]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -74,6 +76,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     whose key is null come first. An empty table gives a store without blocks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dictionary = train(docs, tokenizer_path, "doc_id", "text")
     sha = hashlib.sha256(dictionary).hexdigest()
@@ -90,9 +93,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
         def close() -> pa.RecordBatch:
             nonlocal number, size
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype("<i8")
-            # A null key is written as the least long, as it is first in order; the index keeps where keys are null.
+            # Null keys are first in order. They are written as the least long; n_null tells them from a key of that value.
             plain = np.array([-(2**63) if k is None else k for k in keys], "<i8")
-            row = (number, int(plain[0]), int(plain[-1]), len(keys), sum(counts), sha, plain.tobytes(), offsets.tobytes(), np.array(counts, "<i8").tobytes(), b"".join(frames))
+            row = (number, int(plain[0]), int(plain[-1]), len(keys), sum(counts), sha, plain.tobytes(), offsets.tobytes(), np.array(counts, "<i8").tobytes(), b"".join(frames), sum(k is None for k in keys))
             out = pa.RecordBatch.from_pylist([dict(zip(BLOCK_NAMES, row))], schema=BLOCK_ARROW)
             number, size = number + 1, 0
             keys.clear(), frames.clear(), counts.clear()
@@ -115,7 +118,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
             yield close()
 
     ordered = docs.repartitionByRange(*([partitions] if partitions else []), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(tidy(run), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidy(run, ("bpe",)), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 BLOCK_NAMES = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
@@ -130,15 +133,15 @@ def load_dictionary(spark: SparkSession, path: str) -> tuple[bytes, str]:
     return bytes(row["dictionary"]), row["sha256"]
 
 
-def decode_block(row: dict, unzip, which: range | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(document id, ids) of a block's documents; which: their places in it, by default all. Only their frames are looked at."""
+def decode_block(row: dict, unzip, which: range | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(document id or None, ids) of a block's documents; which: their places in it, by default all. Only their frames are looked at."""
     keys, at = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["frame_offsets"], "<i8")
     counts = np.frombuffer(row["counts"], "<i8")
     for i in which if which is not None else range(len(keys)):
         ids = np.frombuffer(unzip.decompress(row["frames"][at[i] : at[i + 1]]), "<u4")
         if len(ids) != counts[i]:
             raise ValueError("a frame does not hold the number of ids that the index says")
-        yield int(keys[i]), ids
+        yield None if i < row["n_null"] else int(keys[i]), ids
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +169,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError("a block was written under another dictionary")
                 docs, start, size = ([], [], [], []), row["start"], 0
                 for k, ids in decode_block(row, unzip):
-                    for col, v in zip(docs, (None if k == -(2**63) else k, start, len(ids), ids.tobytes())):
+                    for col, v in zip(docs, (k, start, len(ids), ids.tobytes())):
                         col.append(v)
                     start += len(ids)
                     size += ids.nbytes
@@ -190,6 +193,6 @@ def fetch(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
     unzip, out = _decompressor(dictionary), []
     for row in spark.read.parquet(f"{path}/blocks").filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).orderBy("block").collect():
         keys = np.frombuffer(row["doc_ids"], "<i8")
-        a, b = np.searchsorted(keys, doc_id), np.searchsorted(keys, doc_id, "right")
+        a, b = row["n_null"] + np.searchsorted(keys[row["n_null"] :], doc_id), np.searchsorted(keys, doc_id, "right")
         out += [ids for _, ids in decode_block(row.asDict(), unzip, range(a, b))]
     return out
