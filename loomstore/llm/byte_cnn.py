@@ -5,9 +5,9 @@ in chunks that overlap by WIDTH - STRIDE so that no filter position is lost and
 covered, responses pass a ReLU, and each filter's maximum and mean over all chunks are combined into
 one probability by a learned linear layer. A document's result does not depend on the chunk size.
 
-Training is on the driver, on at most MAX_TRAIN labelled documents (those with the smallest hashed
-ids, as many of each label as there are, up to half of that), of which a window of TRAIN_BYTES each;
-it is deterministic. Scoring covers every byte of every document, in one pass without a shuffle.
+Training is on the driver, on at most `max_train` labelled documents (those with the smallest hashed
+ids, as many of each label as there are, up to half of that). Of each, a window of TRAIN_CHARS characters at a hashed place of
+its whole text is fetched, and each round of training draws TRAIN_BYTES from that; it is deterministic. Scoring covers every byte of every document, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tidy
+from .shared import small_batches, tidy
 from .textops import string_buffers
 
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
 CHUNK_STEPS = 2048
-MAX_TRAIN, TRAIN_BYTES, EPOCHS, BATCH = 1600, 1024, 5, 32
+MAX_TRAIN, TRAIN_CHARS, TRAIN_BYTES, EPOCHS, BATCH = 1600, 4096, 1024, 5, 32
 
 
 def _start(seed: int = 7) -> dict[str, np.ndarray]:
@@ -126,29 +126,37 @@ def train(samples: list[bytes], labels: list[int], seed: int = 7) -> ByteCNN:
     return ByteCNN(w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed=None, key: str = "doc_id", text: str = "text", label: str = "quality") -> ByteCNN:
+def fit(docs: DataFrame, labels: DataFrame, allowed=None, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> ByteCNN:
     """Train on the rows of labels for which allowed (a Column over key; by default all) holds.
 
-    Rows whose label or text is null take no part. At most MAX_TRAIN documents come to the driver, cut
-    to a bounded window of bytes.
+    Rows whose label or text is null take no part. At most max_train documents come to the driver, each as a bounded window from
+    a hashed place in its whole text; of several texts under one key, the one of smallest hash. A key with both labels counts for each.
     """
     lab = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     if allowed is not None:
         lab = lab.filter(allowed)
     picked = []
     for y in (0, 1):  # the ids first, without texts
-        rows = lab.filter(F.col("y") == y).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN // 2).collect()
+        rows = lab.filter(F.col("y") == y).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2).collect()
         picked += [(r["doc_id"], y) for r in rows]
     if not picked:
         return train([], [])
     chosen = docs.sparkSession.createDataFrame(sorted(picked), "doc_id long, y int")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.substring(text, 1, 4 * TRAIN_BYTES).alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
+    mine = docs.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    place = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    piece = mine.select("doc_id", "y", F.xxhash64("text").alias("h"), F.substring("text", place, F.lit(TRAIN_CHARS)).alias("text"))
+    rows = piece.groupBy("doc_id", "y").agg(F.min(F.struct("h", "text"))["text"].alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["y"]))
     return train([r["text"].encode() for r in rows], [r["y"] for r in rows])
 
 
 def score(docs: DataFrame, model: ByteCNN, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with a column of scores added (replacing one of that name). Null text is an empty one. Any other columns stay as they are."""
+    """docs with a column of scores added (replacing one of that name).
+
+    Null text is an empty one. Repeated rows and rows of equal or null key are scored each by itself, very long texts whole. An empty
+    table gives none. Any other columns stay as they are.
+    """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.w)  # some 10 kB
     keep = [c for c in docs.columns if c != name]
