@@ -49,7 +49,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_lattice.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = sp_lattice.decode(sp_lattice.encode(table(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", "n_pieces", "ids", F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

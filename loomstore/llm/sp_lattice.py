@@ -1,62 +1,142 @@
 """SentencePiece encoding and decoding as relations.
 
-Text becomes words (runs that no piece crosses: white space marks and what follows). A word becomes its lattice:
-its substrings up to the longest piece, joined to the piece table, grouped again by word. The lattice is folded with
-Spark's higher-order ``aggregate``. The models at hand are of the BPE kind, whose result is not the path of
-best total score but that of merging the best pair of neighbours, again and again, so the fold's step is such a merge:
-its state is the list of cuts, and a step takes the first edge, by score and then place, that spans two neighbours.
-What no piece covers falls back to bytes. (For a unigram model the step would be Viterbi's; such a model is refused.)
-
-Frequent words, taken from a bounded sample, are encoded once and broadcast with their ids (at most FREQUENT
-words); this only saves work, any other word goes through its lattice. Rows stay where one shuffle by row put them:
-explode, the broadcast joins and all grouping keep that partitioning. Words of more than LONG characters, for
-which a fold over all edges grows with the cube of the length, are merged by a heap in a Pandas function.
+1. One pass cuts texts into *words*: runs that no piece can cross, as no piece has the two characters on either
+   side of a cut next to each other. (So white space ends a word, and so does punctuation that no piece joins to letters.)
+   A task gathers its texts into blocks of bounded size; a block has each of its distinct words once, and its texts as lists of
+   places among them. Words and texts of a block meet by one shuffle, which is all that there is.
+2. A word becomes its lattice: its substrings up to the longest piece are exploded, joined to the piece table by
+   equality, and grouped again by word.
+3. The lattice is folded with Spark's higher-order ``aggregate``. The models at hand are of the BPE kind, whose result is not the
+   path of best total score (Viterbi's) but that of merging the best pair of neighbours again and again, so the fold's step
+   is such a merge. Its state is the cuts that are left and the edges that are still possible, each with the number of cuts
+   inside it; the step takes the first edge, by score and then place, that has one cut inside. What no piece covers falls back
+   to bytes. (For a unigram model the step would be Viterbi's; such a model is refused.)
+4. The block's texts are put together from their words' ids.
+
+Words that are frequent in a sample (every SAMPLE-th text) go through the same lattice first and are broadcast, with
+their ids, as at most FREQUENT words of at most LONG characters; this saves work and changes no result. A run of more
+than LONG characters without a place that no piece crosses (one letter a thousand times) is merged by a heap in the first pass.
+
+Decoding is a join by position in the piece table, as an expression: pieces as bytes, put together, read as UTF-8.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import held, small_batches, stored, tidy
+from .textops import chunks, mix, span_hashes, string_buffers
+
 MARK = "▁"
-FREQUENT, SAMPLE_DOCS, SAMPLE_CHARS = 100_000, 4000, 8192
+FREQUENT, SAMPLE = 200_000, 8
 LONG = 32
+BLOCK_BYTES = 32 << 20
+
+
+class Model:
+    """A model file: its pieces, and which characters they have side by side."""
+
+    def __init__(self, path: str):
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        spec = proto.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        norm, train = spec.normalizer_spec, spec.trainer_spec
+        if train.model_type != 2 or not train.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces:
+            raise ValueError(f"{path}: only BPE models with byte fallback and without normalisation are supported")
+        self.rows = [(p.piece, i, -float(p.score)) for i, p in enumerate(spec.pieces) if p.type == 1]
+        self.table = {p: (rank, i) for p, i, rank in self.rows}
+        self.longest = max(map(len, self.table))
+        self.first_byte = next(i for i, p in enumerate(spec.pieces) if p.piece == "<0x00>")
+        #: The bytes that each id stands for.
+        self.raw = [{1: p.piece.encode(), 2: " ⁇ ".encode(), 6: bytes([max(0, i - self.first_byte) & 255])}.get(p.type, b"") for i, p in enumerate(spec.pieces)]
+        side = {(a, b) for p in self.table for a, b in zip(p, p[1:])}
+        chars = sorted({c for ab in side for c in ab})
+        self.number = np.zeros(0x110000, np.int32)  # of a character that some piece has beside another; 0: none
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        at = {c: i + 1 for i, c in enumerate(chars)}
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.beside[[at[a] for a, _ in side], [at[b] for _, b in side]] = True
+        self.value = mix(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, str]:
+        """(start of each word, one more at the end; for each text the place of its first word, one more at the end; the marked texts end to end)."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        text = "".join(marked)
+        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in marked])]).astype(np.int64)
+        n = self.number[cp]
+        start = np.ones(len(cp) + 1, bool)
+        start[1:-1] = ~self.beside[n[:-1], n[1:]]
+        start[bounds] = True
+        starts = np.flatnonzero(start)
+        return starts, np.searchsorted(starts, bounds), text
+
+    def hashes(self, text: str, starts: np.ndarray) -> np.ndarray:
+        return span_hashes(self.value[np.frombuffer(text.encode("utf-32-le"), np.uint32)], starts[:-1], starts[1:])
+
+    def merged(self, w: str) -> list[int]:
+        """The same merges as the fold's by a heap, for a word of any length."""
+        n, pieces = len(w), self.table
+        nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        alive = [True] * n
+        heap: list = []
+
+        def offer(i: int) -> None:
+            j = nxt[i]
+            if j < n and end[j] - i <= self.longest and (p := pieces.get(w[i : end[j]])):
+                heapq.heappush(heap, (p[0], i, end[i], end[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, mid, e = heapq.heappop(heap)
+            if not alive[i] or end[i] != mid or mid >= n or not alive[mid] or end[mid] != e:
+                continue
+            alive[mid] = False
+            end[i], nxt[i] = e, nxt[mid]
+            if nxt[i] < n:
+                prv[nxt[i]] = i
+            offer(i)
+            if prv[i] >= 0:
+                offer(prv[i])
+        ids = []
+        for i in range(n):
+            if alive[i]:
+                p = pieces.get(w[i : end[i]])
+                ids += [p[1]] if p else [b + self.first_byte for b in w[i : end[i]].encode()]
+        return ids
 
-_models: dict = {}
 
+_models: dict[str, Model] = {}
+held(_models.clear, "sentencepiece")
 
-def _model(path: str):
-    import sentencepiece
 
+def model(path: str) -> Model:
+    """One for each worker process and file."""
     if path not in _models:
-        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        _models[path] = Model(path)
     return _models[path]
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, rank): the normal pieces; rank 0 is the best score, equal scores have equal ranks. As large as the model, which is fixed."""
-    from sentencepiece import sentencepiece_model_pb2 as proto
+    """(piece, id, rank): the normal pieces, and an empty one of id -1; a smaller rank is a better score. As large as the model, which is fixed."""
+    return spark.createDataFrame([*model(path).rows, ("", -1, 0.0)], "piece string, id int, rank double")
 
-    spec = proto.ModelProto()
-    with open(path, "rb") as f:
-        spec.ParseFromString(f.read())
-    norm, train = spec.normalizer_spec, spec.trainer_spec
-    if train.model_type != 2 or not train.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces:
-        raise ValueError(f"{path}: only BPE models with byte fallback and without normalisation are supported")
-    rows = [(p.piece, i, -float(p.score)) for i, p in enumerate(spec.pieces) if p.type == 1]
-    if any(MARK in p.lstrip(MARK) for p, _, _ in rows):
-        raise ValueError(f"{path}: a piece goes across words")
-    return spark.createDataFrame([*rows, ("", -1, 0.0)], "piece string, id int, rank double")
 
-
-def words_of(text: Column) -> Column:
-    """White space marks and what follows up to the next; an empty text has none."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"{MARK}*[^{MARK}]+|{MARK}+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _bind(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _byte_ids(char: Column, first_byte: int) -> Column:
@@ -64,118 +144,207 @@ def _byte_ids(char: Column, first_byte: int) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.length(h) / 2 - 1).cast("int")), lambda i: (F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte))
 
 
-def _bind(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fold(words: DataFrame, first_byte: int) -> DataFrame:
     """words (..., word, edges) -> the same with ids; edges (rank, s, e, id) are ascending. In steps, so that each column is computed once."""
 
-    def step(b: Column, _: Column) -> Column:
-        # An edge over two neighbours: its start is a cut, and its end the next but one.
-        spans = lambda x: F.get(b, F.array_position(b, x["s"]).cast("int") + 1) == x["e"]
-        hit = F.get(F.filter("wide", lambda x: F.array_contains(b, x["s"]) & spans(x)), F.lit(0))
-        return _bind(hit, lambda h: F.when(h.isNull(), b).otherwise(F.filter(b, lambda c: (c <= h["s"]) | (c >= h["e"]))))
+    def step(now: Column, _: Column) -> Column:
+        """The best edge over two neighbours is taken; edges that begin or end at the cut between them are gone, those around it have one cut fewer."""
+        cuts, wide = now["cuts"], now["wide"]
+
+        def merge(hit: Column) -> Column:
+            mid = F.get(F.filter(cuts, lambda c: (c > hit["s"]) & (c < hit["e"])), F.lit(0))
+            inner = lambda x, m: x["inner"] - F.when((x["s"] < m) & (m < x["e"]), 1).otherwise(0)
+            keep = lambda x, m: (x["s"] != m) & (x["e"] != m) & ~((x["s"] == hit["s"]) & (x["e"] == hit["e"]))
+            left = lambda m: F.transform(F.filter(wide, lambda x: keep(x, m)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), inner(x, m).alias("inner")))
+            return F.when(hit.isNull(), now).otherwise(_bind(mid, lambda m: F.struct(F.filter(cuts, lambda c: c != m).alias("cuts"), left(m).alias("wide"))))
+
+        return _bind(F.get(F.filter(wide, lambda x: x["inner"] == 1), F.lit(0)), merge)
 
     n = F.length("word")
-    wide = words.withColumn("wide", F.filter("edges", lambda x: x["e"] - x["s"] > 1))
-    cuts = wide.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step))
+    wide = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"] - 1).alias("inner")))
+    first = words.withColumn("state", F.struct(F.sequence(F.lit(0), n).alias("cuts"), wide.alias("wide")))
+    cuts = first.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.col("state"), step)["cuts"])
     spans = cuts.withColumn("spans", F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("s"), F.slice("cuts", 2, F.size("cuts") - 1).alias("e")))
     one = lambda p: F.get(F.filter("edges", lambda x: (x["s"] == p["s"]) & (x["e"] == p["e"])), F.lit(0))["id"]
     part = lambda p: _bind(one(p), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_byte_ids(F.substring("word", p["s"] + 1, F.lit(1)), first_byte)))
-    return spans.withColumn("ids", F.flatten(F.transform("spans", part)))
+    return spans.withColumn("ids", F.flatten(F.transform("spans", part))).drop("state", "cuts", "spans")
 
 
 def lattice(words: DataFrame, keys: list[str], pieces: DataFrame, longest: int, first_byte: int) -> DataFrame:
-    """words (keys, word) -> (keys, ids). Grouped by keys; a word of its own for each of them."""
+    """words (keys, word, extra) -> (keys, ids, extra): one row for each of the keys. A null word has no ids."""
     n = F.length("word")
     subs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(n - s, F.lit(longest))), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("word"), s + 1, k).alias("piece")))))
     none = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("piece")))
-    parts = words.select(*keys, "word", F.explode(F.concat(subs, none)).alias("x")).select(*keys, "word", "x.s", "x.e", "x.piece")
-    edges = parts.join(F.broadcast(pieces), "piece").groupBy(*keys).agg(F.first("word").alias("word"), F.sort_array(F.collect_list(F.struct("rank", "s", "e", "id"))).alias("edges"))
-    return fold(edges, first_byte).select(*keys, "ids")
-
-
-def merge_long(words: list[str], path: str, pieces: dict[str, tuple[float, int]], first_byte: int) -> list[list[int]]:
-    """The same merges by a heap, for words of any length."""
-    out = []
-    for w in words:
-        n = len(w)
-        nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
-        heap: list = []
-
-        def offer(i: int) -> None:
-            j = nxt[i]
-            if j < n and (p := pieces.get(w[i : end[j]])):
-                heapq.heappush(heap, (p[0], i, end[i], end[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, mid, e = heapq.heappop(heap)
-            if not alive[i] or end[i] != mid or mid >= n or not alive[mid] or end[mid] != e:
-                continue
-            alive[mid] = False
-            end[i], nxt[i] = e, nxt[mid]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            offer(i)
-            if prv[i] >= 0:
-                offer(prv[i])
-        ids = []
-        for i in range(n):
-            if alive[i]:
-                p = pieces.get(w[i : end[i]])
-                ids += [p[1]] if p else [b + first_byte for b in w[i : end[i]].encode()]
-        out.append(ids)
-    return out
-
-
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+    # What belongs to the key itself goes with the empty piece, which each key has once.
+    parts = words.select(*keys, "word", "extra", F.explode(F.when(F.col("word").isNull(), none).otherwise(F.concat(none, subs))).alias("x"))
+    own = F.col("x.e") == 0
+    parts = parts.select(*keys, F.when(own, F.col("word")).alias("word"), F.when(own, F.col("extra")).alias("extra"), "x.s", "x.e", "x.piece")
+    edge = F.when(F.col("id") >= 0, F.struct("rank", "s", "e", "id"))
+    edges = parts.join(F.broadcast(pieces), "piece").groupBy(*keys).agg(F.max("word").alias("word"), F.max("extra").alias("extra"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    return fold(edges, first_byte).select(*keys, F.when(F.col("word").isNotNull(), F.col("ids")).alias("ids"), "extra")
+
+
+def frequent(docs: DataFrame, path: str, text: str, pieces: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes ascending, where each word's ids start and one more at the end, ids) of the words that most of every SAMPLE-th text have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, at = model(path), 0
+        for batch in batches:
+            own = [t for i, t in enumerate(batch.column(0).to_pylist(), at) if i % SAMPLE == 0 and t]
+            at += batch.num_rows
+            starts, _, joined = m.words(own)
+            fine = np.diff(starts) <= LONG
+            code, uniq = pd.factorize(m.hashes(joined, starts)[fine])
+            where = np.empty(len(uniq), np.int64)
+            where[code[::-1]] = np.flatnonzero(fine)[::-1]
+            a, b = starts[where].tolist(), starts[where + 1].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([joined[x:y] for x, y in zip(a, b)], pa.string()), pa.array(np.bincount(code, minlength=len(uniq)), pa.int64())], names=["word", "n"])
+
+    m, spark = model(path), docs.sparkSession
+    often = docs.select(F.col(text).alias("text")).mapInArrow(tidy(run, ("sentencepiece",)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT)
+    often = stored(often.select("word"), "pieces-frequent").repartition("word").withColumn("extra", F.lit(None).cast("binary"))
+    # At most FREQUENT words of at most LONG characters, which is also the bound of the broadcast.
+    known = stored(lattice(often.withColumn("key", F.col("word")), ["key"], pieces, m.longest, m.first_byte).select("key", "ids"), "pieces-known").toArrow()
+    words = known.column("key").to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    h = m.hashes("".join(words), starts) if words else np.zeros(0, np.uint64)
+    order = np.argsort(h)
+    ids = [np.asarray(x, np.int32) for x in known.column("ids").to_pylist()]
+    flat = np.concatenate([ids[i] for i in order.tolist()]) if words else np.zeros(0, np.int32)
+    return h[order], np.concatenate([[0], np.cumsum([len(ids[i]) for i in order.tolist()])]).astype(np.int64), flat
+
+
+BLOCK = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("extra", pa.binary())])
+
+
+class _Block:
+    """Texts of a block: for each the places of its words among the block's distinct words."""
+
+    def __init__(self):
+        self.keys: list = []
+        self.sizes: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
+        self.hash: list[np.ndarray] = []
+        self.words: list[list[str]] = []
+        self.bytes = 0
+
+    def add(self, m: Model, keys: list, texts: list[str], size: int) -> None:
+        starts, first, joined = m.words(texts)
+        code, uniq = pd.factorize(m.hashes(joined, starts))
+        where = np.empty(len(uniq), np.int64)
+        where[code[::-1]] = np.arange(len(code))[::-1]
+        self.words.append([joined[a:b] for a, b in zip(starts[where].tolist(), starts[where + 1].tolist())])
+        self.keys += keys
+        self.sizes.append(np.diff(first))
+        self.codes.append((code + sum(map(len, self.hash))).astype(np.int32))
+        self.hash.append(uniq)
+        self.bytes += size
+
+    def close(self, m: Model, known: tuple, number: int) -> Iterator[pa.RecordBatch]:
+        """The words that have no ids yet, and one row of all else: keys, sizes, places, and the known words' ids."""
+        import pickle
+        import zlib
+
+        code, uniq = pd.factorize(np.concatenate(self.hash))
+        where = np.empty(len(uniq), np.int64)
+        where[code[::-1]] = np.arange(len(code))[::-1]
+        words = [w for ws in self.words for w in ws]
+        places = code[np.concatenate(self.codes)].astype("<u4")
+        hashes, begin, flat = known
+        at = np.minimum(np.searchsorted(hashes, uniq), max(0, len(hashes) - 1))
+        hit = hashes[at] == uniq if len(hashes) else np.zeros(len(uniq), bool)
+        long = {k: m.merged(words[where[k]]) for k in np.flatnonzero(~hit).tolist() if len(words[where[k]]) > LONG}
+        want = [k for k in np.flatnonzero(~hit).tolist() if k not in long]
+        # Planes of the places, as the upper bytes are mostly alike.
+        planes = zlib.compress(np.ascontiguousarray(places.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+        body = pickle.dumps((self.keys, np.concatenate(self.sizes).astype("<i4").tobytes(), planes, np.flatnonzero(hit).astype("<i4").tobytes(), at[hit].astype("<i4").tobytes(), len(uniq), long), 5)
+        # Named by the task and the content: a block's name stays when its task runs again, and blocks of equal content stay apart.
+        name = (TaskContext.get().partitionId() << 33) + number
+        block = int.from_bytes(hashlib.blake2b(body, digest_size=8, salt=name.to_bytes(8, "little")).digest(), "little", signed=True)
+        for a in range(0, len(want), 1 << 16):
+            part = want[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array([words[where[k]] for k in part], pa.string()), pa.nulls(len(part), pa.binary())], schema=BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([body], pa.binary())], schema=BLOCK)
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_pieces, ids, as the sentencepiece library gives them (without begin and end).
 
-    Null text is an empty one: no pieces. Rows of equal key stay rows of their own. An empty table gives none. Other columns are not looked at.
+    Null text is an empty one: no pieces. Rows of equal or null key stay rows of their own. A very long text is a block of its
+    own. An empty table gives none. Other columns are not looked at.
     """
-    from .shared import shuffle_partitions
-
-    spark = docs.sparkSession
+    spark, m = docs.sparkSession, model(path)
+    small_batches(spark)
     pieces = piece_table(spark, path)
-    table = {r["piece"]: (r["rank"], r["id"]) for r in pieces.collect() if r["id"] >= 0}
-    longest, first_byte = max(map(len, table)), _model(path).piece_to_id("<0x00>")
-
-    sample = docs.select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).select(F.explode(words_of(F.col("t"))).alias("word"))
-    often = sample.filter(F.length("word") <= LONG).groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(FREQUENT).select("word")
-    known = lattice(often.withColumn("w", F.col("word")), ["w"], pieces, longest, first_byte).select(F.col("w").alias("word"), "ids")
-    known = spark.createDataFrame(known.collect(), known.schema)  # at most FREQUENT short words
-
-    @F.pandas_udf("array<int>")
-    def by_heap(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            yield pd.Series(merge_long(s.tolist(), path, table, first_byte))
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartition(partitions or max(32, shuffle_partitions(spark)), "row")
-    each = rows.select("row", F.posexplode(words_of(F.col("text"))).alias("pos", "word")).join(F.broadcast(known), "word", "left")
-    easy = each.filter("ids IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("easy"))
-    rare = lattice(each.filter(f"ids IS NULL AND length(word) <= {LONG}").select("row", "pos", "word"), ["row", "pos"], pieces, longest, first_byte)
-    rare = rare.groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("rare"))
-    long = each.filter(f"ids IS NULL AND length(word) > {LONG}").select("row", "pos", by_heap("word").alias("ids")).groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("long"))
-    out = rows.select("row", "doc_id").join(easy, "row", "left").join(rare, "row", "left").join(long, "row", "left")
-    none = F.array().cast("array<struct<pos:int,ids:array<int>>>")
-    parts = F.sort_array(F.concat(*[F.coalesce(c, none) for c in ("easy", "rare", "long")]))
-    out = out.select("doc_id", F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
-
-
-def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """rows with the text of their ids added as `text`: pieces joined, bytes put together, marks read as spaces, the first one dropped. Bytes that are no UTF-8 become U+FFFD, one for each maximal wrong run."""
-
-    @F.pandas_udf("string")
-    def text(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _model(path)
-        for s in it:
-            yield pd.Series([None if x is None else model.decode([int(i) for i in x]) for x in s])
-
-    return rows.withColumn("text", text(F.col(ids)))
+    known = spark.sparkContext.broadcast(frequent(docs, path, text, pieces))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, now, made = model(path), _Block(), 0
+        for batch in batches:
+            _, offsets = string_buffers(batch.column(1))
+            for a, b in chunks(offsets):
+                texts = ["" if t is None else t for t in batch.column(1).slice(a, b - a).to_pylist()]
+                now.add(m, batch.column(0).slice(a, b - a).to_pylist(), texts, int(offsets[b] - offsets[a]))
+                if now.bytes >= BLOCK_BYTES:
+                    yield from now.close(m, known.value, made)
+                    now, made = _Block(), made + 1
+        if now.keys:
+            yield from now.close(m, known.value, made)
+
+    def put_together(t: pa.Table) -> pa.Table:
+        import pickle
+        import zlib
+
+        t = t.combine_chunks()
+        _, begin, flat = known.value
+        place = t.column("place").to_numpy()
+        got = t.column("ids").combine_chunks()
+        bodies = [x for x in t.column("extra").to_pylist() if x is not None]
+        if not bodies:
+            raise RuntimeError("a block of words came without its texts")
+        keys, sizes, planes, hit, at, n, long = pickle.loads(bodies[0])
+        hit, at = np.frombuffer(hit, "<i4"), np.frombuffer(at, "<i4")
+        offsets, values = got.offsets.to_numpy(), got.values.to_numpy(zero_copy_only=False)
+        extra = np.array([i for k in sorted(long) for i in long[k]], np.int32)
+        # All ids of the block's words, wherever they come from, as one array: where each word's begin, and how many.
+        source = np.concatenate([flat, values, extra])
+        where, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        where[hit], count[hit] = begin[at], begin[at + 1] - begin[at]
+        mine = place >= 0
+        where[place[mine]], count[place[mine]] = len(flat) + offsets[:-1][mine], np.diff(offsets)[mine]
+        sizes_long = np.array([len(long[k]) for k in sorted(long)], np.int64)
+        if long:
+            where[sorted(long)], count[sorted(long)] = len(flat) + len(values) + np.cumsum(sizes_long) - sizes_long, sizes_long
+        raw = np.frombuffer(zlib.decompress(planes), np.uint8)
+        places = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+        c = count[places]
+        ends = np.concatenate([[0], np.cumsum(c)]).astype(np.int64)
+        ids = source[np.repeat(where[places] - ends[:-1], c) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i4"))])]
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.table([pa.array(keys, pa.int64()), pa.array(np.diff(bounds), pa.int64()), lists], names=["doc_id", "n_pieces", "ids"])
+
+    def in_group(t):
+        from .shared import drop_held, give_back
+
+        drop_held()
+        try:
+            return put_together(t)
+        finally:
+            give_back()
+
+    blocks = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(cut, ("sentencepiece",)), "block long, place int, word string, extra binary")
+    rows = lattice(blocks.repartition("block"), ["block", "place"], pieces, m.longest, m.first_byte)
+    return rows.groupBy("block").applyInArrow(in_group, "doc_id long, n_pieces long, ids array<int>")
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "text") -> DataFrame:
+    """rows with the text of their ids added: pieces joined, bytes put together, marks read as spaces, the first one dropped.
+
+    Null ids give null, no ids an empty text. Bytes that are no UTF-8 become U+FFFD, one for each maximal wrong run
+    (the library: one for each wrong byte); encode() gives no such ids. An id outside the table counts for nothing. Other columns stay; one of that name is replaced.
+    """
+    table = F.split(F.lit(",".join(x.hex() for x in model(path).raw)), ",")  # folded to a constant of the model's size
+    joined = F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.get(table, i), F.lit(""))), "")
+    text = F.replace(F.make_valid_utf8(F.unhex(joined).cast("string")), F.lit(MARK), F.lit(" "))
+    return rows.withColumn("__bytes", text).withColumn(name, F.when(F.startswith("__bytes", F.lit(" ")), F.substring("__bytes", F.lit(2), F.length("__bytes"))).otherwise(F.col("__bytes"))).drop("__bytes")
