@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .jaccard_join import BATCH_BYTES, BATCH_DOCS, _ranges
-from .shared import stored, tidy, tidy_group
+from .shared import small_batches, stored, tidy, tidy_group
 from .textops import chunks, gram_hashes, string_buffers, word_hashes, words
 
 GRAM = 7
@@ -126,9 +126,12 @@ def text_anchors(docs: DataFrame, window: int, n_ranges: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, hits: DataFrame, window: int, n_ranges: int) -> DataFrame:
-    """(anchor, seg, doc_id, node, start, words): runs of windows with one of the text's hit anchors; words as 64-bit hashes, seg their hash."""
+    """(anchor, seg, doc_id, node, starts, words): runs of windows with one of the text's hit anchors; words as 64-bit hashes, seg their hash.
+
+    A run that a text has several times (a text that repeats itself) is one row, with all places where it starts.
+    """
     bits = n_ranges.bit_length() - 1
-    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("starts", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,15 +149,17 @@ def segments(docs: DataFrame, hits: DataFrame, window: int, n_ranges: int) -> Da
                     value = (value >> np.uint64(32 - bits)).astype(np.int64)
                     hit = np.isin(value, np.frombuffer(want, "<i8"))
                     turn = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+                    runs: dict[bytes, list[int]] = {}
                     for p, q in zip(turn.tolist(), np.append(turn[1:], len(at)).tolist()):
                         if hit[p]:
-                            w = h[i + p : i + q + window - 1].tobytes()
-                            for col, v in zip(out, (int(value[p]), int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), key, node, p, w)):
-                                col.append(v)
+                            runs.setdefault(h[i + p : i + q + window - 1].tobytes(), []).append(p)
+                    for w, places in runs.items():
+                        for col, v in zip(out, (int(value[places[0]]), int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), key, node, np.array(places, "<i4").tobytes(), w)):
+                            col.append(v)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.join(hits, "doc_id").select("doc_id", "text", "lists").mapInArrow(tidy(run), "anchor long, seg long, doc_id long, node long, start int, words binary")
+    return docs.join(hits, "doc_id").select("doc_id", "text", "lists").mapInArrow(tidy(run), "anchor long, seg long, doc_id long, node long, starts binary, words binary")
 
 
 class SuffixAutomaton:
@@ -217,6 +222,22 @@ class SuffixAutomaton:
         return out
 
 
+def _joined(raw: np.ndarray, bounds: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, stays: np.ndarray) -> pa.Array:
+    """For each document the words that stay, joined by one space: their bytes, and after each but the document's last the byte behind it (white space), as a space."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[stays]
+    s, e = s[stays], e[stays]
+    step = np.zeros(len(raw) + 1, np.int8)
+    step[s] += 1
+    step[e] -= 1
+    taken = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+    gaps = e[:-1][doc[1:] == doc[:-1]]
+    raw = raw.copy()
+    raw[gaps] = 32
+    taken[gaps] = True
+    place = np.concatenate([[0], np.cumsum(taken)])[bounds].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(place), pa.py_buffer(raw[taken])).cast(pa.string())
+
+
 def least_documents(found: DataFrame, window: int) -> DataFrame:
     """found: segments -> (anchor, seg, least): for each distinct segment and window of it the least document that has the window, as little-endian 64-bit integers."""
     one = found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("words").alias("words"))
@@ -268,10 +289,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     A word goes when a window of `window` words covers it whose words also start in a document with a
     smaller key; windows are judged on the input. Null text has no words (kept is empty). A row whose
     key is null is left whole and is no reference. Rows of equal key are judged by themselves and are no reference
-    for each other. Extra columns stay; ones named n_words, n_removed or kept are replaced.
+    for each other. A very long text is handled whole, as a chunk of its own. An empty table gives none. Extra columns stay;
+    ones named n_words, n_removed or kept are replaced.
     """
     if window < 1:
         raise ValueError("window must be positive")
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n_ranges = _ranges(docs, text, 0.25)
@@ -286,14 +309,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
         """Starts of the windows that an earlier document has."""
         for b in batches:
             out = ([], [], [])
-            for doc, node, start, blob in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, node, starts, blob in zip(*(c.to_pylist() for c in b.columns)):
                 at = np.flatnonzero(np.frombuffer(blob, "<i8") < doc)
                 if len(at):
-                    for col, v in zip(out, (doc, node, (at + start).astype("<i4").tobytes())):
+                    at = (np.frombuffer(starts, "<i4")[:, None] + at).reshape(-1)
+                    for col, v in zip(out, (doc, node, at.astype("<i4").tobytes())):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["doc_id", "node", "starts"])
 
-    marks = found.select("anchor", "seg", "doc_id", "node", "start").join(least, ["anchor", "seg"]).select("doc_id", "node", "start", "least").mapInArrow(tidy(mark), "doc_id long, node long, starts binary")
+    marks = found.select("anchor", "seg", "doc_id", "node", "starts").join(least, ["anchor", "seg"]).select("doc_id", "node", "starts", "least").mapInArrow(tidy(mark), "doc_id long, node long, starts binary")
     copies = named.filter(f"rep < doc_id AND n >= {window}").select("doc_id", "node", F.lit(None).cast("binary").alias("starts"))
     verdicts = marks.unionByName(copies).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("node", "starts")).alias("__marks"))
     both = docs.select(*[docs[f"`{c}`"] for c in keep])
@@ -303,26 +327,24 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column(place))
-            n_words, n_removed, kept = [], [], []
             verdict = batch.column(len(keep)).to_pylist()
             for a, b in chunks(offsets):
-                raw, s, e, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                bounds = offsets[a : b + 1] - offsets[a]
+                raw, s, e, first = words(data[offsets[a] : offsets[b]], bounds)
+                gone = np.zeros(len(s), bool)
                 for d, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()), a):
-                    gone = np.zeros(j - i, bool)
                     if verdict[d]:
                         node = _node(word_hashes(raw, s[i:j], e[i:j]))
                         for m in verdict[d]:
                             if m["node"] != node:
                                 continue
                             if m["starts"] is None:
-                                gone[:] = True
+                                gone[i:j] = True
                             else:
-                                gone[(np.frombuffer(m["starts"], "<i4")[:, None] + np.arange(window)).reshape(-1)] = True
-                    left = np.flatnonzero(~gone) + i
-                    kept.append(b" ".join(raw[x:y].tobytes() for x, y in zip(s[left].tolist(), e[left].tolist())).decode())
-                    n_words.append(j - i)
-                    n_removed.append(int(gone.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
+                                gone[i + (np.frombuffer(m["starts"], "<i4")[:, None] + np.arange(window)).reshape(-1)] = True
+                before = np.concatenate([[0], np.cumsum(gone)])
+                out = [pa.array(np.diff(first)), pa.array(before[first[1:]] - before[first[:-1]]), _joined(raw, bounds, s, e, first, ~gone)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), *out], names=[*keep, "n_words", "n_removed", "kept"])
 
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     return joined.mapInArrow(tidy(take_out), T.StructType([*types.fields, *new]))
