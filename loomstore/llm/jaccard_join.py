@@ -36,7 +36,7 @@ RANGE_TOKENS = 2_000_000
 BATCH_BYTES, BATCH_DOCS = 8 << 20, 16_384
 FRAGMENTS = 8
 PARITY_WORDS = 16  # longs of a parity signature; a power of two
-META = np.dtype([("doc_id", "<i8"), ("null", "?"), ("n", "<i4"), ("node", "<i8")])
+META = np.dtype([("doc_id", "<i8"), ("null", "?"), ("n", "<i4"), ("node", "<i8"), ("tag", "<i8")])
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -57,7 +57,7 @@ def _ranges(docs: DataFrame, text: str, probes: float) -> int:
 
 
 def document_nodes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, node, may): for each row the size and the hash of its set, and whether it may have a link."""
+    """(doc_id, n, node, may, tag): for each row the size and the hash of its set, whether it may have a link, and xxhash64 of its text."""
     miss = lambda n: n - (n * num + den - 1) // den
     probe = lambda n: np.minimum(n, 2 * miss(n) + 1)
     n_ranges = _ranges(docs, text, min(1.0, 2 * (den - num) / num + (den - num) / den))
@@ -76,6 +76,7 @@ def document_nodes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_
                 ids = keys.slice(a, b - a)
                 meta["null"] = ids.is_null().to_numpy(zero_copy_only=False)
                 meta["doc_id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
+                meta["tag"] = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)
                 n = meta["n"] = np.array([len(s) for s in sets], np.int64)
                 meta["node"] = [_node(s) for s in sets]
                 q = probe(n.astype(np.int64))
@@ -121,13 +122,13 @@ def document_nodes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_
             np.add.at(hits, np.frombuffer(d, "<u2"), np.frombuffer(c, "<u4"))
         n = meta["n"].astype(np.int64)
         may = (n > 0) & (hits >= probe(n) - miss(n)) & ~meta["null"]
-        one = pd.DataFrame({"doc_id": pd.array(meta["doc_id"], "Int64").copy(), "n": n.astype(np.int32), "node": meta["node"], "may": may})
+        one = pd.DataFrame({"doc_id": pd.array(meta["doc_id"], "Int64").copy(), "n": n.astype(np.int32), "node": meta["node"], "may": may, "tag": meta["tag"]})
         one.loc[meta["null"], "doc_id"] = pd.NA
         return pd.concat([one] * len(metas))
 
-    blobs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(hashes), "range int, batch long, h binary, doc binary, meta binary")
+    blobs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(tidy(hashes), "range int, batch long, h binary, doc binary, meta binary")
     counts = blobs.groupBy("range").applyInPandas(tidy_group(meet), "batch long, doc binary, hits binary, meta binary")
-    return counts.groupBy("batch").applyInPandas(tidy_group(decide), "doc_id long, n int, node long, may boolean")
+    return counts.groupBy("batch").applyInPandas(tidy_group(decide), "doc_id long, n int, node long, may boolean, tag long")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,22 +252,47 @@ def link(sets: DataFrame, num: int, den: int) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def cluster(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs; two documents are linked when the Jaccard similarity of their sets of k-word shingles is num/den at least.
-
-    A-Z are lower-cased. A document of fewer than k words has one shingle; without words (or text) it has
-    none and no link. component_id is the smallest doc_id that links reach. Rows of equal doc_id but other
-    text are judged by themselves; a row whose doc_id is null has no link and component_id null. Extra columns are not looked at.
-    """
+def _clustered(docs: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """(doc_id, tag, n, may, component_id) for each row of docs; those that may not have a link are alone."""
     nodes = stored(document_nodes(docs, k, num, den, key, text), "join-documents")
     reps = nodes.filter("may").groupBy("node").agg(F.min("doc_id").alias("rep"))
     parts = link(stored(node_sets(docs, reps.select(F.col("rep").alias("doc_id"), "node"), k, key, text), "join-sets"), num, den)
     named = reps.join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("part"))
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     by_node = named.join(least, "part").select("node", "component_id")
-    known = nodes.filter("may").join(by_node, "node").select("doc_id", "n", "component_id")
-    alone = nodes.filter("NOT may").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return known.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    known = nodes.filter("may").join(by_node, "node").select("doc_id", "tag", "n", "may", "component_id")
+    return known.unionByName(nodes.filter("NOT may").select("doc_id", "tag", "n", "may", F.col("doc_id").alias("component_id")))
+
+
+def cluster(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; two documents are linked when the Jaccard similarity of their sets of k-word shingles is num/den at least.
+
+    A-Z are lower-cased. A document of fewer than k words has one shingle; without words (or text) it has
+    none and no link. component_id is the smallest doc_id that links reach. Rows of equal doc_id but other
+    text are judged by themselves; a row whose doc_id is null has no link and component_id null. A very long text is handled
+    whole. An empty table gives none. Extra columns are not looked at.
+    """
+    return _clustered(docs, k, num, den, key, text).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, but of each group of linked documents only one: that of the smallest key, and of its texts the one of smallest hash.
+
+    Rows are told apart by key and text (its 64-bit hash), so another text under the key of a copy stays. Of rows that agree in
+    both, one stays. Rows without words or without a key have no link, and all stay. An empty table gives none.
+    """
+    rows = stored(_clustered(docs, k, num, den, key, text).filter("may").select("doc_id", "tag", "component_id"), "join-groups")
+    # A component is named by its smallest key, so only the rows of that key are looked at together; the others go.
+    heads = rows.filter("doc_id = component_id").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("rows"))
+    first = heads.groupBy("doc_id").agg(F.min("tag").alias("first"))
+    told = heads.join(first, "doc_id").select("doc_id", "tag", (F.col("tag") == F.col("first")).alias("__stays"), "rows").filter("NOT __stays OR rows > 1")
+    told = told.unionByName(rows.filter("component_id < doc_id").select("doc_id", "tag").distinct().withColumns({"__stays": F.lit(False), "rows": F.lit(1).cast("long")}))
+    told = stored(told.select(F.col("doc_id").alias("__key"), F.col("tag").alias("__tag"), "__stays"), "join-gone")
+    same = (F.col(f"`{key}`").cast("long") == F.col("__key")) & (F.xxhash64(f"`{text}`") == F.col("__tag"))
+    out = docs.join(told, same, "left_anti")
+    if not told.filter("__stays").isEmpty():
+        out = out.unionByName(docs.join(told.filter("__stays"), same).dropDuplicates(["__key", "__tag"]).select(*[f"`{c}`" for c in docs.columns]))
+    return out
 
 
 def links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
