@@ -1,6 +1,8 @@
 """A corpus pipeline: quality classifier, near duplicates, repeated passages, packing.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents.
+Null texts are empty ones, rows of equal doc_id are documents of their own, an empty table gives none, very long texts are
+handled whole, and other columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,10 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 0.8 of their five-word shingles, the one of smallest doc_id. Documents without a doc_id stay."""
-    groups = stored(jaccard_join.cluster(docs, k=5, num=80, den=100), "pipeline-groups")
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of documents linked by 0.8 of their five-word shingles, the one of smallest doc_id. Documents without words or doc_id stay, and so does another text under the same doc_id."""
+    return jaccard_join.one_of_each(docs.select(*COLUMNS), k=5, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
