@@ -206,3 +206,43 @@ def undelta_udf(item: int = 2):
 def floats_to_bytes():
     """The little-endian float32 bytes of an array of floats; null for a null array."""
     return _udf("binary", lambda x: np.asarray(x, "<f4").tobytes())
+
+
+FLOATS = {"float16": "<f2", "float32": "<f4", "float64": "<f8"}
+
+
+def cast_floats(data: bytes, have: str, want: str) -> bytes:
+    """Values of one kind of float as another, rounded to the nearest (ties to even); bfloat16 is the upper half of a float32."""
+    if have == want:
+        return data
+    if have == "bfloat16":
+        x = (np.frombuffer(data, "<u2").astype("<u4") << 16).view("<f4")
+    elif have in FLOATS:
+        x = np.frombuffer(data, FLOATS[have])
+    else:
+        raise ValueError(f"no cast from {have}")
+    if want == "bfloat16":
+        u = x.astype("<f4").view("<u4")
+        up = (u + 0x7FFF + (u >> 16 & 1)) >> 16
+        return np.where(np.isnan(x.astype("<f4")), u >> 16 | 0x40, up).astype("<u2").tobytes()
+    if want not in FLOATS:
+        raise ValueError(f"no cast to {want}")
+    with np.errstate(over="ignore"):
+        return x.astype(FLOATS[want]).tobytes()
+
+
+def train_xor_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
+    """A zstandard dictionary of XOR differences; an error where there are none, or too few to train on"""
+    samples = [s for s in samples if s]
+    if not samples:
+        raise ValueError("no samples to train a dictionary on")
+    return zstandard.train_dictionary(size, samples).as_bytes()
+
+
+def encode_with(target: bytes, base: bytes, dictionary: bytes, level: int = 3) -> bytes:
+    """The XOR under a trained dictionary"""
+    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress(xor_bytes(target, base))
+
+
+def decode_with(blob: bytes, base: bytes, dictionary: bytes) -> bytes:
+    return xor_bytes(zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress(blob, max_output_size=max(1, len(base))), base)

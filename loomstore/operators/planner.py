@@ -27,14 +27,16 @@ def distance(a: str, b: str, n_bits: Column, d: int = 2) -> Column:
 
 
 def attach_group(sketches: list, n_bits: np.ndarray, threshold: float = 0.70, coeffs=COEFFS, d: int = 2) -> list[tuple]:
-    """E4 in order of arrival: (role, place of base, distance, ratio); the bases' sketches are held as one matrix that grows."""
+    """E4 in order of arrival: (role, place of base, distance, ratio); the bases' sketches are held as one matrix that grows. A sketch of another width than the group's first is an error: sketches of one catalog have one width."""
     out, places, count = [], np.zeros(0, np.int64), 0
     width = next((len(s) for s in sketches if s is not None), 0)
     matrix = np.zeros((16, width), np.int64)
     for i, s in enumerate(sketches):
-        if s is None or len(s) != width:
+        if s is None:
             out.append(("skipped", None, None, None))
             continue
+        if len(s) != width:
+            raise ValueError(f"sketches of {width} and {len(s)} numbers in one group")
         if count:
             x = matrix[:count] - s
             dist = np.einsum("ij,ij->i", x, x) / d / max(int(n_bits[i]), 1)
@@ -129,13 +131,16 @@ def flexsplit(tensors: DataFrame, min_ratio: float = 0.0, keep_raw_from: float |
 
 def strategy_costs(r: np.ndarray, k: int = 4) -> dict[str, tuple[float, int]]:
     """Cost in tensors, and number of bases"""
-    n = len(r)
-    mid = n // 2
-    centers = sorted({round(j * (n - 1) / (k - 1)) for j in range(k)}) if n >= k else list(range(n))
-    out = {"chain": (1 + r[np.arange(1, n), np.arange(n - 1)].sum(), 1), "star-first": (1 + r[1:, 0].sum(), 1), "star-mid": (1 + np.delete(r[:, mid], mid).sum(), 1)}
-    for name, bases in (("k-center", centers), ("split", open_bases(r))):
-        out[name] = (len(bases) + np.delete(nearest_of(r, bases)[1], bases).sum(), len(bases))
-    return {name: (float(c), b) for name, (c, b) in out.items()}
+    whole = np.eye(len(r), dtype=bool)
+
+    def stored_against(bases) -> tuple[float, int]:
+        """Each base as itself, each other at its least ratio."""
+        return float(np.where(whole[:, bases].any(1), 1.0, r[:, bases].min(1)).sum()), len(bases)
+
+    # k places from the first to the last tensor with gaps as equal as can be; fewer where the group is smaller.
+    places = np.unique(np.rint(np.linspace(0, len(r) - 1, min(k, len(r)))).astype(int))
+    sets = {"star-first": [0], "star-mid": [len(r) // 2], "k-center": places.tolist(), "split": open_bases(r)}
+    return {"chain": (1.0 + float(np.diagonal(r, -1).sum()), 1)} | {name: stored_against(b) for name, b in sets.items()}
 
 
 def strategies(tensors: DataFrame, k: int = 4) -> DataFrame:
@@ -156,3 +161,105 @@ def nearest_static(tensors: DataFrame, bases: DataFrame, d: int = 2) -> DataFram
     met = tensors.join(b, "group_key").filter("tensor_id <> base_id").withColumn("distance", distance("sketch", "base_sketch", F.col("n_bits"), d))
     best = met.groupBy("group_key", "tensor_id").agg(F.min(F.struct("distance", "base_ord", "base_id")).alias("b"))
     return best.select("group_key", "tensor_id", F.col("b.base_id").alias("base_id"), F.col("b.distance").alias("distance"), predict_ratio(F.col("b.distance")).alias("predicted_ratio"))
+
+
+# -- around the greedy rule ---------------------------------------------------------------------------
+
+
+def candidates(mappings: DataFrame, tensors: DataFrame, model: str, with_existing: bool = False) -> DataFrame:
+    """(ord, tensor_id, own) in the order in which the greedy rule sees them: with_existing, first the other tensors by created_at and id; then the model's own by parameter. Each tensor once, at its first place; tensors without a shape (scalars) are left out.
+
+    mappings (model, param, tensor_id), tensors (tensor_id, shape, created_at, ...). ord is a row's place among its kind, own ones after all others.
+    """
+    own = mappings.filter(F.col("model") == model).groupBy("tensor_id").agg(F.min("param").alias("param")).withColumn("own", F.lit(True))
+    fine = tensors.filter(F.size("shape") > 0)
+    both = fine.join(own, "tensor_id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    if not with_existing:
+        both = both.filter("own")
+    key = F.struct("own", F.when(~F.col("own"), F.col("created_at")).alias("at"), F.coalesce("param", F.lit("")).alias("param"), "tensor_id")
+    return both.withColumn("ord", key)
+
+
+def only_model(plan: DataFrame, mappings: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """E5: (the pairs whose target is the model's, one row of counts). n_pairs follows the filter, n_bases and n_skipped don't."""
+    mine = mappings.filter(F.col("model") == model).select("tensor_id").distinct()
+    pairs = plan.filter("role = 'delta'").join(mine, "tensor_id", "left_semi")
+    count = lambda role: F.count(F.when(F.col("role") == role, 1))
+    whole = plan.agg(count("base").alias("n_bases"), count("skipped").alias("n_skipped"), F.count_distinct("group_key").alias("n_groups"))
+    return pairs, pairs.agg(F.count(F.lit(1)).alias("n_pairs")).crossJoin(whole)  # one row with one row
+
+
+def buckets(sketch: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """A key for each table of hyperplanes: the signs of the sketch's products with them."""
+    bits = (planes @ sketch.astype(float)) > 0
+    return bits @ (1 << np.arange(planes.shape[1]))
+
+
+def attach_group_indexed(sketches: list, n_bits: np.ndarray, threshold: float = 0.70, tables: int = 8, bits: int = 6, seed: int = 5, d: int = 2) -> list[tuple]:
+    """The greedy rule with an approximate index of the bases: only bases that share a bucket of one table are looked at; the nearest of them is taken. None at hand opens a base."""
+    width = next((len(s) for s in sketches if s is not None), 0)
+    planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((tables, bits, width))
+    index: list[dict[int, list[int]]] = [{} for _ in range(tables)]
+    out: list[tuple] = []
+    for i, s in enumerate(sketches):
+        if s is None:
+            out.append(("skipped", None, None, None))
+            continue
+        keys = buckets(s, planes).tolist()
+        near = sorted({j for t, k in enumerate(keys) for j in index[t].get(k, ())})
+        if near:
+            x = np.stack([sketches[j] for j in near]) - s
+            dist = np.einsum("ij,ij->i", x, x) / d / max(int(n_bits[i]), 1)
+            j = int(dist.argmin())
+            r = float(ratios(dist[j : j + 1])[0])
+            if r <= threshold:
+                out.append(("delta", near[j], float(dist[j]), r))
+                continue
+        for t, k in enumerate(keys):
+            index[t].setdefault(k, []).append(i)
+        out.append(("base", None, None, None))
+    return out
+
+
+def recall_at_1(tensors: DataFrame, threshold: float = 0.70, tables: int = 8, bits: int = 6) -> DataFrame:
+    """group_key, tensors, same: for how many tensors the rule with the index picks the same base (itself, where it opens one) as with all bases. Recall@1 is same / tensors."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ord", "tensor_id"])
+        s, n = [None if x is None else np.asarray(x, np.int64) for x in rows.sketch], rows.n_bits.to_numpy()
+        a, b = attach_group(s, n, threshold), attach_group_indexed(s, n, threshold, tables, bits)
+        same = sum(x[:2] == y[:2] for x, y in zip(a, b))
+        return pd.DataFrame({"group_key": [rows.group_key.iloc[0]], "tensors": [len(rows)], "same": [same]})
+
+    run.__annotations__ = {}
+    return tensors.groupBy("group_key").applyInPandas(run, "group_key string, tensors long, same long")
+
+
+def against(named: DataFrame, reference: str, d: int = 2) -> DataFrame:
+    """(model, shared, mean_ratio): each model's mean predicted ratio against the reference model over the parameters that both have with a sketch. named (model, param, sketch, n_bits)"""
+    a = named.filter("sketch IS NOT NULL")
+    base = a.filter(F.col("model") == reference).select("param", F.col("sketch").alias("base_sketch"), F.col("n_bits").alias("base_bits"))
+    met = a.filter(F.col("model") != reference).join(base, "param").withColumn("cr", predict_ratio(distance("sketch", "base_sketch", F.col("base_bits"), d)))
+    return met.groupBy("model").agg(F.count(F.lit(1)).alias("shared"), F.avg("cr").alias("mean_ratio"))
+
+
+def prune_near(named: DataFrame, reference: str, threshold: float) -> DataFrame:
+    """The models that stay: the reference, and those whose mean predicted reduction against it is at most the threshold (others are near copies). A model that shares no parameter with it goes; at 1 and above, all stay."""
+    if threshold >= 1:
+        return named.select("model").distinct()
+    few = against(named, reference).filter(1 - F.col("mean_ratio") <= threshold).select("model")
+    return few.unionByName(named.filter(F.col("model") == reference).select("model").distinct())
+
+
+def heatmap(named: DataFrame, reference: str, top: int, d: int = 2) -> DataFrame:
+    """(param, model, saved, place): predicted reduction of the `top` models that differ most from the reference, at each parameter; place orders the models by their saving at the last parameter, most first."""
+    far = against(named, reference, d).orderBy(F.desc("mean_ratio"), "model").limit(top).select("model")
+    a = named.filter("sketch IS NOT NULL")
+    base = a.filter(F.col("model") == reference).select("param", F.col("sketch").alias("base_sketch"), F.col("n_bits").alias("base_bits"))
+    cells = a.join(far, "model").join(base, "param").select("param", "model", (1 - predict_ratio(distance("sketch", "base_sketch", F.col("base_bits"), d))).alias("saved"))
+    last = cells.agg(F.max("param").alias("param"))
+    from pyspark.sql import Window
+
+    # As many rows as models asked for.
+    order = far.join(cells.join(last, "param").select("model", F.col("saved").alias("at_last")), "model", "left").withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("at_last"), "model"))).select("model", "place")
+    return cells.join(order, "model").select("param", "model", "saved", "place")

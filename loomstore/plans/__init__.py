@@ -1,6 +1,6 @@
 """The registry of the engine's queries and of their DuckDB twins."""
 
-from . import tensors  # noqa: F401  adds its queries
+from . import lifecycle, tensors  # noqa: F401  they add their queries
 from .relational import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -292,13 +292,6 @@ def d01(spark, d):
     return graph.latest(s, new, ["id"])
 
 
-@query("d02_lifecycle", "SELECT o_custkey AS model, CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 3 THEN 'failed' WHEN count(*) FILTER (o_orderstatus = 'O') = 0 THEN 'ready' ELSE 'ingesting' END AS status, count(*) AS total FROM orders GROUP BY 1")
-def d02(spark, d):
-    """D2, D3"""
-    n = lambda s: F.count(F.when(F.col("o_orderstatus") == s, 1))
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("model")).agg(F.when(n("F") > 3, "failed").when(n("O") == 0, "ready").otherwise("ingesting").alias("status"), F.count(F.lit(1)).alias("total"))
-
-
 @query("d05_gc_once", "WITH t AS (SELECT doc_id AS id FROM documents), m AS (SELECT id FROM t WHERE id % 3 = 0), e AS (SELECT id, id // 2 AS base FROM t WHERE id % 5 = 1) SELECT id AS tensor_id FROM t WHERE id IN (SELECT id FROM m) OR id IN (SELECT base FROM e)")
 def d05(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("tensor_id"))

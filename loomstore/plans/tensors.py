@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import facility, planner
+from ..operators import facility, planner, store
 from .relational import query, table
 
 W = 64
@@ -156,10 +156,10 @@ def g06(spark, d):
     return facility.compare(tensors(spark, d))
 
 
-@query("a16_shards")
+@query("a16_shards", "WITH RECURSIVE t AS (SELECT source AS model, CAST(doc_id AS VARCHAR) AS param, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) AS rn FROM documents), c(model, param, n, rn, shard, used) AS (SELECT model, param, n, rn, 1, n FROM t WHERE rn = 1 UNION ALL SELECT t.model, t.param, t.n, t.rn, CASE WHEN used > 0 AND used + t.n > 100000 THEN shard + 1 ELSE shard END, CASE WHEN used > 0 AND used + t.n > 100000 THEN t.n ELSE used + t.n END FROM c JOIN t ON t.model = c.model AND t.rn = c.rn + 1) SELECT model, param, n AS size_bytes, shard, printf('model-%05d-of-%05d.safetensors', shard, max(shard) OVER (PARTITION BY model)) AS file FROM c")
 def a16(spark, d):
-    """A15, A16"""
-    return facility.shards(table(spark, d, "documents").select(F.col("source").alias("model"), F.col("doc_id").cast("string").alias("param"), F.octet_length("text").cast("long").alias("size_bytes")), 100_000)
+    """The sequential rule of shards, by groups"""
+    return facility.shards(table(spark, d, "documents").select(F.col("source").alias("model"), F.col("doc_id").cast("string").alias("param"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size_bytes")), 100_000)
 
 
 @query("g17_budget")
@@ -191,15 +191,68 @@ def l01(spark, d):
     return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("v")).select(F.col("window.start").alias("start"), "event_type", "n", "v")
 
 
-@query("a01_safetensors")
+def file_root(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one."""
+    from ..operators.lineage import settle
+
+    settle(spark.range(1))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+
+
+def as_blobs(t: DataFrame) -> DataFrame:
+    return store.raw_blobs(t.select(F.lit("float32").alias("dtype"), F.array(F.lit(64).cast("long")).alias("shape"), "payload"))
+
+
+@query("a01_safetensors", "SELECT min(vec_id) AS v, 'float32' AS dtype, CAST(256 AS BIGINT) AS data_len, true AS intact FROM embeddings GROUP BY embedding")
 def a01(spark, d):
-    """A1, A2, A5: content-addressed files written, and scanned with a filter on names"""
+    """Content-addressed files written, and scanned with a filter on names"""
+    from ..sources import safetensors
+
+    root = file_root(spark, "store")
+    t = table(spark, d, "embeddings").select("vec_id", K.floats_to_bytes()("embedding").alias("payload"))
+    safetensors.write_blobs(as_blobs(t), root)
+    name = F.regexp_extract("file", r"([0-9a-f]{32})\.safetensors", 1)
+    got = safetensors.read(spark, root).filter("name = 'tensor'").select(name.alias("id"), "dtype", "data_len", (K.content_hash_udf()("payload") == name).alias("intact"))
+    names = t.groupBy("payload").agg(F.min("vec_id").alias("v")).select("v", K.content_hash_udf()("payload").alias("id"))
+    return got.join(names, "id").join(safetensors.inventory(spark, root).select("id"), "id", "left_semi").drop("id")
+
+
+@query("a11_headers", "SELECT label AS model, count(*) AS blobs, count(*) FILTER (v > 0) AS deltas, count(*) AS intact FROM (SELECT label, embedding, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS v FROM (SELECT min(label) AS label, embedding, min(vec_id) AS vec_id FROM embeddings GROUP BY embedding)) GROUP BY 1")
+def a11(spark, d):
+    """A model's tensors written as deltas against its first, found again by their headers, loaded, rebuilt"""
     from ..operators.lineage import settle
     from ..sources import safetensors
 
-    settle(spark.range(1))
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:") + f"/store-{uuid.uuid4().hex}"
-    t = table(spark, d, "embeddings").select(K.floats_to_bytes()("embedding").alias("payload"))
-    safetensors.write_blobs(t.select(K.content_hash_udf()("payload").alias("id"), F.lit("float32").alias("dtype"), F.array(F.lit(64).cast("long")).alias("shape"), "payload"), root)
-    got = safetensors.read(spark, root).filter("name = 'tensor'")
-    return got.select(F.regexp_extract("file", r"([0-9a-f]{32})\.safetensors", 1).alias("id"), "dtype", "shape", "data_len", (K.content_hash_udf()("payload") == F.regexp_extract("file", r"([0-9a-f]{32})\.safetensors", 1)).alias("intact"))
+    root = file_root(spark, "blobs")
+    t = table(spark, d, "embeddings").select("label", "vec_id", K.floats_to_bytes()("embedding").alias("payload"))
+    one = settle(t.groupBy("payload").agg(F.min("label").alias("label"), F.min("vec_id").alias("vec_id")).withColumn("id", K.content_hash_udf()("payload")))
+    first = one.groupBy("label").agg(F.min_by("id", "vec_id").alias("base"))
+    pairs = one.join(first, "label").filter("id <> base").select(F.col("vec_id").alias("ord"), F.col("id").alias("target"), "base")
+    safetensors.write_blobs(store.compress_pairs(pairs, settle(as_blobs(one)))[1], root)
+    ids = safetensors.inventory(spark, root).select("id")
+    heads = settle(safetensors.headers(spark, ids, root))
+    back = store.reconstruct(settle(safetensors.load(spark, ids, root)))
+    out = one.select("label", "id").join(heads.withColumnRenamed("tensor_id", "id"), "id").join(back.select("id", "status"), "id")
+    return out.groupBy(F.col("label").alias("model")).agg(F.count(F.lit(1)).alias("blobs"), F.count("base_id").alias("deltas"), F.count(F.when(F.col("status") == "ok", 1)).alias("intact"))
+
+
+SHARDED = "WITH RECURSIVE t AS (SELECT label AS model, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS param, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), c AS (SELECT model, param, 1 + (rn - 1) // 16 AS shard FROM t)"
+
+
+@query("a15_pull", f"{SHARDED} SELECT CAST(model AS VARCHAR) AS model, count(*) AS params, CAST(count(*) * 256 AS BIGINT) AS bytes, count(DISTINCT shard) AS files, count(*) AS same FROM c GROUP BY 1")
+def a15(spark, d):
+    """Models written to files of 4096 bytes of tensors at most, in order of parameter, with an index; read back by the index"""
+    from ..sources import safetensors
+
+    root = file_root(spark, "models")
+    t = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("model"), F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("param"), K.floats_to_bytes()("embedding").alias("payload"))
+    places = facility.shards(t.select("model", "param", F.octet_length("payload").cast("long").alias("size_bytes")), 4096)
+    whole = t.join(places.select("model", "param", "file"), ["model", "param"]).select("model", "param", F.lit("float32").alias("dtype"), F.array(F.lit(64).cast("long")).alias("shape"), "payload", "file")
+    safetensors.write_models(whole, root)
+    got = safetensors.read(spark, root).select(F.element_at(F.split("file", "/"), -2).alias("model"), F.element_at(F.split("file", "/"), -1).alias("file"), F.col("name").alias("param"), F.col("payload").alias("back"))
+    index = spark.read.option("wholetext", True).option("pathGlobFilter", "*.index.json").option("recursiveFileLookup", "true").text(root)
+    body = F.from_json("value", "metadata struct<total_size: long>, weight_map map<string, string>")
+    listed = index.select(body.alias("b")).select(F.explode("b.weight_map").alias("param", "listed"))
+    met = t.join(got, ["model", "param"]).join(listed, "param", "left")
+    ok = (F.col("payload") == F.col("back")) & (F.coalesce("listed", "file") == F.col("file"))
+    return met.groupBy("model").agg(F.count(F.lit(1)).alias("params"), F.sum(F.octet_length("back")).cast("long").alias("bytes"), F.count_distinct("file").alias("files"), F.count(F.when(ok, 1)).alias("same"))
