@@ -3,10 +3,12 @@
 Vectors are dealt to shards by a hash. In a shard one more component gives all vectors the same length,
 so that the order by inner product is the order by angle. Each vector has a level (geometric, from a
 hash of its class). On each level the graph is a flat array of neighbours (int32, -1 where there are
-fewer): from a vector's nearest on that level (found by blocks of the shard, which is bounded) those are
-linked that are nearer to it than to any link chosen before, and links are made mutual as far as there is room.
-A query goes down the levels by beam search, many queries at a time. Shard results are merged, and scores
-are computed anew in double precision on the original vectors. Each row is indexed.
+fewer). A level is built from the one above: each of its vectors looks for its nearest vectors there (its hubs) by
+the same beam search that queries use, and vectors with a hub in common are candidates for each other. From the nearest
+candidates those are linked that are nearer to a vector than to any link chosen before, and links are made mutual as far as
+there is room. Levels of up to SMALL vectors are compared whole. So building costs about the same for each vector, whatever the
+shard's size, and a shard is as large as a task's memory allows. A query goes down the levels by beam search, many queries at a
+time. Shard results are merged, and scores are computed anew in double precision on the original vectors. Each row is indexed.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from . import vectors as V
 from .shared import stored
 from .textops import mix
 
-SHARD = 4096
-LINKS, NEAR, BEAM = 16, 40, 96
+SHARD = 65_536
+LINKS, NEAR, BEAM = 24, 48, 256
+SMALL, HUBS = 4096, 10
 
 
 class Graph:
@@ -34,10 +37,33 @@ class Graph:
         self.x = _equal_length(x)
         u = (mix(cls.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2**53
         level = np.floor(-np.log(1 - u) / np.log(links)).astype(int) if len(cls) else np.zeros(0, int)
-        self.levels = []
-        for l in range(level.max(initial=0) + 1):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for l in range(level.max(initial=0), -1, -1):
             members = np.flatnonzero(level >= l).astype(np.int32)
-            self.levels.append((members, _link(self.x, members, 2 * links if l == 0 else links)))
+            m = 2 * links if l == 0 else links
+            if len(members) <= SMALL:
+                near = _nearest_of_all(self.x, members, m)
+            else:
+                near = _nearest_by_hubs(self.x, members, self._hubs(members), m)
+            self.levels.insert(0, (members, _link(self.x, members, near, m)))
+
+    def _hubs(self, members: np.ndarray) -> np.ndarray:
+        """(members, HUBS): each one's nearest on the lowest level built so far, itself too if it is there."""
+        top, _ = self.levels[0]
+        if len(top) <= SMALL:  # one product
+            out = np.empty((len(members), min(HUBS, len(top))), np.int32)
+            for a in range(0, len(members), 2048):
+                sim = self.x[members[a : a + 2048]] @ self.x[top].T
+                out[a : a + 2048] = top[np.argpartition(-sim, out.shape[1] - 1, 1)[:, : out.shape[1]]]
+            return out
+        return np.concatenate([self.descend(self.x[members[a : a + 256]], 0, 4 * HUBS)[:, :HUBS] for a in range(0, len(members), 256)])
+
+    def descend(self, q: np.ndarray, last: int, width: int) -> np.ndarray:
+        """(queries, width) places, best first, by beam search from the top level down to the one numbered last."""
+        at = np.broadcast_to(self.levels[-1][0][:1], (len(q), 1)).copy()
+        for l in range(len(self.levels) - 1, last - 1, -1):
+            at = _beam(self.x, self.levels[l][1], q, at[:, : 8 if l == last else 16], width if l == last else 16)
+        return at
 
     def to_bytes(self) -> bytes:
         import pickle
@@ -55,13 +81,7 @@ class Graph:
     def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(places, found) of shape (queries, beam): the best found, -1 where there are fewer."""
         q = np.concatenate([q.astype(np.float32), np.zeros((len(q), 1), np.float32)], 1)
-        members = self.levels[-1][0]
-        at = np.broadcast_to(members[:1], (len(q), 1)).copy()
-        for l in range(len(self.levels) - 1, -1, -1):
-            members, near = self.levels[l]
-            width = max(beam, k) if l == 0 else 16
-            at = _beam(self.x, near, q, at[:, : 8 if l == 0 else 16], width)
-        return at
+        return self.descend(q, 0, max(beam, k))
 
 
 def _equal_length(x: np.ndarray) -> np.ndarray:
@@ -87,19 +107,69 @@ def _choose(x: np.ndarray, own: np.ndarray, cand: np.ndarray, m: int) -> np.ndar
     return np.take_along_axis(cand, order, 1)
 
 
-def _link(x: np.ndarray, members: np.ndarray, m: int, block: int = 256) -> np.ndarray:
-    """(len(x), m) neighbours of the members on a level; rows of others are -1."""
-    out = np.full((len(x), m), -1, np.int32)
+def _nearest_of_all(x: np.ndarray, members: np.ndarray, m: int, block: int = 256) -> np.ndarray:
+    """(members, c): each one's nearest others, nearest first."""
     near = min(max(NEAR, m), len(members) - 1)
-    if near <= 0:
-        return out
-    for a in range(0, len(members), block):
+    out = np.full((len(members), max(0, near)), -1, np.int32)
+    for a in range(0, len(members) if near > 0 else 0, block):
         own = members[a : a + block]
         sim = x[own] @ x[members].T
         sim[np.arange(len(own)), np.arange(a, a + len(own))] = -np.inf
         top = np.argpartition(-sim, near - 1, 1)[:, :near]
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), 1, kind="stable"), 1)
-        got = _choose(x, own, members[top], m // 2)
+        out[a : a + block] = members[np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), 1, kind="stable"), 1)]
+    return out
+
+
+def _nearest_by_hubs(x: np.ndarray, members: np.ndarray, hubs: np.ndarray, m: int) -> np.ndarray:
+    """(members, c): each one's nearest among those that have a hub in common with it. A hub's list is compared whole, in blocks; of each comparison the nearest few are kept."""
+    near = max(NEAR, m)
+    few = max(8, near // 2)
+    owner = np.repeat(np.arange(len(members), dtype=np.int64), hubs.shape[1])
+    hub = hubs.reshape(-1)
+    owner, hub = owner[hub >= 0], hub[hub >= 0]
+    order = np.argsort(hub, kind="stable")
+    owner, hub = owner[order], hub[order]
+    first = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
+    slot = np.zeros(len(members), np.int64)
+    cand = np.full((len(members), hubs.shape[1], few), -1, np.int32)
+    sims = np.full(cand.shape, -np.inf, np.float32)
+    for a, b in zip(first.tolist(), np.append(first[1:], len(hub)).tolist()):
+        lot = owner[a:b]
+        v = x[members[lot]]
+        for c in range(0, len(lot), 1024):
+            own = lot[c : c + 1024]
+            sim = v[c : c + 1024] @ v.T
+            sim[np.arange(len(own)), np.arange(c, c + len(own))] = -np.inf
+            t = min(few, len(lot) - 1)
+            if t <= 0:
+                continue
+            top = np.argpartition(-sim, t - 1, 1)[:, :t]
+            cand[own, slot[own], :t] = members[lot[top]]
+            sims[own, slot[own], :t] = np.take_along_axis(sim, top, 1)
+        slot[lot] += 1
+    cand, sims = cand.reshape(len(members), -1), sims.reshape(len(members), -1)
+    out = np.full((len(members), near), -1, np.int32)
+    for a in range(0, len(members), 4096):
+        c, s = cand[a : a + 4096], sims[a : a + 4096]
+        # Each candidate once: sorted by place, repeats are pushed to the end.
+        order = np.argsort(c, 1, kind="stable")
+        c, s = np.take_along_axis(c, order, 1), np.take_along_axis(s, order, 1)
+        s[:, 1:][c[:, 1:] == c[:, :-1]] = -np.inf
+        top = np.argsort(-s, 1, kind="stable")[:, :near]
+        got = np.take_along_axis(c, top, 1)
+        got[np.take_along_axis(s, top, 1) == -np.inf] = -1
+        out[a : a + 4096, : got.shape[1]] = got
+    return out
+
+
+def _link(x: np.ndarray, members: np.ndarray, near: np.ndarray, m: int, block: int = 256) -> np.ndarray:
+    """(len(x), m) neighbours of the members on a level, out of the nearest of each; rows of others are -1."""
+    out = np.full((len(x), m), -1, np.int32)
+    if not near.shape[1]:
+        return out
+    for a in range(0, len(members), block):
+        own = members[a : a + block]
+        got = _choose(x, own, near[a : a + block], m // 2)
         out[own, : got.shape[1]] = got
     # Mutual links: each link also from its other end, nearest first, as far as there is room.
     frm, to = np.repeat(np.arange(len(x), dtype=np.int32), m), out.reshape(-1)
@@ -167,12 +237,14 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", v
     """For each row whose key is divisible by `every`, the k rows of largest inner product found: query_id, rank, vec_id, score.
 
     Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows
-    with a null key. Ties go to smaller ids; equal vectors have equal scores. Repeated rows count once. An
-    empty table gives none. Other columns are not looked at.
+    with a null key. Vectors of another length are no candidates for each other; each length is searched by itself. Ties go to
+    smaller ids; equal vectors have equal scores. Repeated rows count once. An empty table gives none. Other columns are not looked at.
     """
-    spark = rows.sparkSession
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec")).filter(F.col("id").isNotNull() & V.usable("vec", False))
-    V.dimension(rows)
+    return V.by_length(rows, lambda own: _search(own, k, every, shard, beam))
+
+
+def _search(rows: DataFrame, k: int, every: int, shard: int, beam: int) -> DataFrame:
     classes = stored(V.ids_by_class(rows, k + 1), "vector-classes")
     n = V.n_blocks_for(classes.count(), shard)
     queries = V.query_rows(rows, classes, every)
