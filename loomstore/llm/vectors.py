@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+MOST_LENGTHS = 32
 
 
 def usable(vec: str, allow_zero: bool) -> Column:
@@ -51,7 +52,7 @@ def blocks(vectors: DataFrame, n_blocks: int, kind: str) -> DataFrame:
                 at = keys == k
                 yield pa.RecordBatch.from_pylist([{"block": k, "cls_ids": cls[at].tobytes(), "data": flat[at].astype(kind).tobytes()}], schema=PACKED)
 
-    def join(_, rows: pd.DataFrame) -> pd.DataFrame:
+    def join(rows):
         return pd.DataFrame({"block": [rows.block.iloc[0]], "cls_ids": [b"".join(rows.cls_ids)], "data": [b"".join(rows.data)]})
 
     cut = vectors.select(F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int").alias("block"), "cls", "vec")
@@ -74,12 +75,51 @@ def n_blocks_for(count: int, size: int = BLOCK) -> int:
     return max(1, -(-count // size))
 
 
-def dimension(rows: DataFrame) -> int:
-    """The length that all vectors have; an error when there are several."""
-    got = [r[0] for r in rows.select(F.size("vec").alias("d")).distinct().limit(2).collect()]
-    if len(got) > 1:
-        raise ValueError("vectors of several lengths can't be searched together")
-    return got[0] if got else 0
+def by_length(rows: DataFrame, search) -> DataFrame:
+    """search(rows) for the vectors of each length by themselves; mostly there is one."""
+    found = [r[0] for r in rows.select(F.size("vec").alias("d")).distinct().orderBy("d").limit(MOST_LENGTHS + 1).collect()]
+    if len(found) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    out = [search(rows.filter(F.size("vec") == d) if len(found) > 1 else rows) for d in found or [0]]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0]
+
+
+def sorted_blocks(vectors: DataFrame, n_blocks: int, kind: str, summary) -> DataFrame:
+    """(cls, vec, means) -> (block, cls_ids, data, box): neighbours in the order of a curve through the space of means share a block; box is summary(matrix) as doubles. A block is what one task has after sorting by range, so no more than a few times its due."""
+    scale = vectors.select(*[F.struct(F.avg(F.get("means", F.lit(i))).alias("m"), F.stddev_pop(F.get("means", F.lit(i))).alias("s")).alias(f"c{i}") for i in range(4)]).first()
+    places = [(r["m"] or 0.0, r["s"] or 1.0) for r in scale]
+
+    def code() -> Column:
+        """Four means as eight steps each, their bits dealt in turn."""
+        steps = [F.least(F.lit(7), F.greatest(F.lit(0), F.floor((F.coalesce(F.get("means", F.lit(i)), F.lit(0.0)) - m) / (0.5 * s) + 4))).cast("int") for i, (m, s) in enumerate(places)]
+        bits = [F.shiftleft(F.shiftright(x, b).bitwiseAND(F.lit(1)), 4 * b + i) for i, x in enumerate(steps) for b in range(3)]
+        return sum(bits[1:], bits[0])
+
+    def pack(batches):
+        cls, data = [], []
+        for b in batches:
+            cls.append(b.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            data.append(np.asarray(b.column(1).flatten()).astype(kind))
+        if cls and sum(map(len, cls)):
+            x = np.concatenate(data).reshape(sum(map(len, cls)), -1)
+            yield pa.RecordBatch.from_pylist([{"cls_ids": np.concatenate(cls).tobytes(), "data": x.tobytes(), "box": summary(x).astype("<f8").tobytes()}], schema=pa.schema([("cls_ids", pa.binary()), ("data", pa.binary()), ("box", pa.binary())]))
+
+    ranged = vectors.select("cls", "vec", code().alias("code")).repartitionByRange(n_blocks, "code", "cls").select("cls", "vec")
+    return ranged.mapInArrow(pack, "cls_ids binary, data binary, box binary").select(F.spark_partition_id().alias("block"), "cls_ids", "data", "box")
+
+
+def owners(blocks_: DataFrame) -> DataFrame:
+    """(block, qcls) of each class of packed blocks."""
+
+    def run(batches):
+        for b in batches:
+            for block, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cls = np.frombuffer(ids, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), block, np.int32)), pa.array(cls)], names=["block", "qcls"])
+
+    return blocks_.select("block", "cls_ids").mapInArrow(run, "block int, qcls long")
 
 
 def best_rows(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
