@@ -136,7 +136,7 @@ class BatchEncoder:
                 after = q + k
                 start[after[after < n]] = True
         starts = np.flatnonzero(start)
-        ends = np.append(starts[1:], n)
+        ends = np.append(starts[1:], n)[: len(starts)]
         if not self.spaced:
             keep = cls[starts] != SPACE
             starts, ends = starts[keep], ends[keep]

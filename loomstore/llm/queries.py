@@ -15,20 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024, 512, 256 and 128 tokens; null text is one end token, repeated rows are documents of their own, an empty table gives none. See packing.pack."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all whole texts, and the longest prefix within 512 tokens; null text has none, repeated rows stay, an empty table gives none. See token_counts.count_tokens."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=512)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fits_chars")
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest of each 20th id, by shards' graphs; null, zero and unfinite vectors take no part, repeated rows count once, ties go to smaller ids. See hnsw.search."""
     return hnsw.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
 def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10 best of each 100th id, exactly; null and unfinite vectors take no part, repeated rows count once, ties go to smaller ids. See segment_topk.search."""
     return segment_topk.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
@@ -36,25 +40,30 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 
 
 def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on each page; null urls and urls without a host are allowed, a host without links stands by its own pages, repeated rows stay. See url_trust.judge."""
     return url_trust.judge(table(spark, sf_dir, "pages"), RULES)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document; without words or id there is no link, rows of equal id are judged by their texts. See jaccard_join.cluster."""
     return jaccard_join.cluster(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without windows of 13 words that a smaller id has; null text has no words, a row without id is left whole. See substring_dedup.remove_repeats."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all whole texts, and the checksum of the text that they are decoded to; null text has none, repeated rows stay. See sp_lattice.encode and decode."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = sp_lattice.decode(sp_lattice.encode(table(spark, sf_dir, "documents"), path), path)
     return rows.select("doc_id", "n_pieces", "ids", F.crc32(F.encode("text", "UTF-8")).alias("decoded_crc32"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as files in ascending order of id (null first) and read back; null text is one end token, repeated rows stay side by side. See token_files.write and read."""
     path = scratch(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, partitions=max(8, shuffle_partitions(spark)))
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -66,6 +75,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of each whole text, null ones as empty; learned from labels of ids that are not held out. See byte_cnn.fit and score."""
     docs = table(spark, sf_dir, "documents")
     model = byte_cnn.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
     scored = byte_cnn.score(docs.select("doc_id", "text"), model)

@@ -78,7 +78,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "p
     """page_id, host, path, rule, verdict, trust, distrust for each page.
 
     Null urls and urls without :// have an empty host and path; they fit no rule and are allowed. Null
-    html has no links. Repeated rows stay rows of their own, and count as often as links. An empty table gives none.
+    html has no links. Repeated rows stay rows of their own, and count as often as links. An empty table gives none. Where no link
+    reaches a host, its trust and distrust are the shares of its own pages that rules allow and block, each over all hosts' such shares;
+    a host without either is allowed. Other columns are not looked at.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     name, verdict = matched_rule(F.col("host"), F.col("path"), rules)

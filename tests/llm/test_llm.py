@@ -1,10 +1,8 @@
 """Operators against brute force, the libraries, and odd inputs: nulls, empty tables, repeated rows, clashing columns."""
 
 import collections
-import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -247,7 +245,7 @@ def test_sentencepiece(spark):
     path = P.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = [(i, t) for i, t in enumerate([None, "", " ", "Hello  world", "漢字 émigré", "a" * 50 + " b", "the the of\nof", "<s> 🎉"])]
-    got = sp_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, partitions=2)
+    got = sp_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), path)
     back = {r["doc_id"]: r for r in sp_lattice.decode(got, path).collect()}
     for i, t in rows:
         assert back[i]["ids"] == model.encode(t or "") and back[i]["text"] == (t or "")
@@ -274,4 +272,4 @@ def test_pipeline_stages_on_small_rows(spark, tmp_path):
     _, label = components_of([(r[0], r[1]) for r in rows], 5, 80, 100)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in label.items() if i == c}
     out = corpus_pipeline.repeated_passages(spark, kept, "")
-    assert out.columns == df.columns and hashlib.sha256 and zlib.crc32
+    assert out.columns == df.columns and out.count() <= kept.count()
