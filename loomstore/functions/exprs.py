@@ -36,16 +36,24 @@ UNITS = {"": 1, "B": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12, "KI
 
 
 def layer_type(name: Column) -> Column:
-    """B1"""
+    """B1: one search for each pattern in the name in lower case, a wildcard as any character"""
+    low = F.lower(name)
+    hit = lambda p: low.rlike(p.strip("%").replace("_", ".")) if "_" in p else low.contains(p.strip("%"))
     out = F
     for kind, patterns in LAYER_PATTERNS:
-        hit = name.ilike(patterns[0])
+        some = hit(patterns[0])
         for p in patterns[1:]:
-            hit = hit | name.ilike(p)
-        out = out.when(hit, kind)
+            some = some | hit(p)
+        out = out.when(some, kind)
     return out.otherwise("other")
 
 
+def layer_types(df, name: str = "name", kind: str = "kind"):
+    """B1 on a table: each distinct name is looked at once, and its kind joined back"""
+    kinds = df.select(name).distinct().withColumn(kind, layer_type(F.col(name)))
+    return df.join(kinds, df[name].eqNullSafe(kinds[name]), "left").drop(kinds[name])
+
+
 def like_any_case(name: Column, pattern: str) -> Column:
     """The LIKE of a store whose LIKE ignores ASCII case"""
     return name.ilike(pattern)
@@ -146,7 +154,7 @@ def unzigzag(n: Column) -> Column:
 
 
 def short_name(name: Column) -> Column:
-    """B23"""
+    """B23 (the two patterns are fixed values)"""
     layer = F.regexp_extract(name, r"layers\.(\d+)\.", 1)
     out = F.regexp_replace(F.regexp_replace(name, r"^(model\.)?layers\.\d+\.", ""), r"^model\.", "")
     for old, new in SHORT_NAMES:

@@ -57,6 +57,72 @@ def sketch(data: bytes, d: int = 2, w: int = 1024, first: int = 0) -> np.ndarray
     return out.reshape(-1).astype(np.int32)
 
 
+def sketch_many(datas: list[bytes | None], d: int = 2, w: int = 1024, firsts: np.ndarray | None = None) -> list[np.ndarray | None]:
+    """sketch() of many payloads (parts that begin at element firsts[i]) by a few operations on all of them; None for a null or an odd number of bytes."""
+    if w & (w - 1):
+        return [None] * len(datas)
+    fine = [i for i, x in enumerate(datas) if x is not None and len(x) % 2 == 0]
+    out: list[np.ndarray | None] = [None] * len(datas)
+    step = max(1, (1 << 21) // (d * w))
+    for a in range(0, len(fine), step):
+        some = fine[a : a + step]
+        size = np.array([len(datas[i]) // 2 for i in some], np.int64)
+        v = np.frombuffer(b"".join(datas[i] for i in some), "<u2")
+        row = np.repeat(np.arange(len(some)), size)
+        place = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+        if firsts is not None:
+            place = place + np.repeat(np.asarray(firsts)[some], size)
+        at = np.flatnonzero(v)
+        v, row, place = v[at], row[at], place[at].astype(np.uint64)
+        ones = np.bitwise_count(v).astype(np.int64)
+        table = np.zeros((len(some), d, w), np.int64)
+        for r, seed in enumerate(row_seeds(d)):
+            h = place * np.uint64(seed)
+            h ^= h >> np.uint64(31)
+            sign = np.bitwise_count(v & (h >> np.uint64(1)).astype(np.uint16)).astype(np.int64)
+            slot = row * w + ((h >> np.uint64(32)) & np.uint64(w - 1)).astype(np.int64)
+            table[:, r] = np.bincount(slot, 2 * sign - ones, len(some) * w).reshape(len(some), w)
+        for i, x in zip(some, table.reshape(len(some), -1).astype(np.int32)):
+            out[i] = x
+    return out
+
+
+def entropy_many(datas: list[bytes | None]) -> list[float | None]:
+    """byte_entropy() of many payloads: counts of all of them in one table, in blocks"""
+    out: list[float | None] = [None] * len(datas)
+    fine = [i for i, x in enumerate(datas) if x is not None]
+    a = 0
+    while a < len(fine):
+        b, total = a, 0
+        while b < len(fine) and b - a < 4096 and (b == a or total + len(datas[fine[b]]) <= 1 << 23):
+            total += len(datas[fine[b]])
+            b += 1
+        some = fine[a:b]
+        size = np.array([len(datas[i]) for i in some], np.int64)
+        flat = np.frombuffer(b"".join(datas[i] for i in some), np.uint8)
+        count = np.bincount(np.repeat(np.arange(len(some)), size) * 256 + flat, minlength=256 * len(some)).reshape(len(some), 256)
+        p = count / np.maximum(size, 1)[:, None]
+        h = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
+        for i, x in zip(some, (h + 0.0).tolist()):
+            out[i] = x
+        a = b
+    return out
+
+
+def hamming_many(a: list[bytes | None], b: list[bytes | None]) -> list[int | None]:
+    """hamming() of many pairs; those of unequal length are an error"""
+    fine = [i for i, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None]
+    out: list[int | None] = [None] * len(a)
+    size = np.array([len(a[i]) for i in fine], np.int64)
+    if any(len(b[i]) != n for i, n in zip(fine, size.tolist())):
+        raise ValueError("payloads differ in length")
+    x = np.bitwise_count(np.frombuffer(b"".join(a[i] for i in fine), np.uint8) ^ np.frombuffer(b"".join(b[i] for i in fine), np.uint8))
+    ends = np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.concatenate([[0], np.cumsum(size)])]
+    for i, n in zip(fine, np.diff(ends).tolist()):
+        out[i] = n
+    return out
+
+
 def sketch_distance(a: np.ndarray, b: np.ndarray, n_bits: int, d: int = 2) -> float:
     """E1"""
     x = a.astype(np.int64) - b.astype(np.int64)
@@ -175,24 +241,32 @@ def _udf(kind: str, f, *_):
     return run
 
 
+def _batch_udf(kind: str, f):
+    """An Arrow-batched function of binary columns, given each column of a batch as a list; null is None."""
+
+    @F.pandas_udf(kind)
+    def run(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for cols in it:
+            cols = cols if isinstance(cols, tuple) else (cols,)
+            yield pd.Series(f(*(c.tolist() for c in cols)), dtype=object)
+
+    return run
+
+
 def content_hash_udf():
     return _udf("string", content_hash)
 
 
 def sketch_udf(d: int = 2, w: int = 1024):
-    def one(data):
-        s = sketch(data, d, w)
-        return None if s is None else s.tolist()
-
-    return _udf("array<int>", one)
+    return _batch_udf("array<int>", lambda datas: sketch_many(datas, d, w))
 
 
 def entropy_udf():
-    return _udf("double", byte_entropy)
+    return _batch_udf("double", entropy_many)
 
 
 def hamming_udf():
-    return _udf("long", hamming)
+    return _batch_udf("long", hamming_many)
 
 
 def delta_udf(item: int = 2):
@@ -205,7 +279,14 @@ def undelta_udf(item: int = 2):
 
 def floats_to_bytes():
     """The little-endian float32 bytes of an array of floats; null for a null array."""
-    return _udf("binary", lambda x: np.asarray(x, "<f4").tobytes())
+
+    def many(rows):
+        size = [0 if x is None else 4 * len(x) for x in rows]
+        raw = np.concatenate([np.zeros(0, "<f4"), *(np.asarray(x, "<f4") for x in rows if x is not None)]).astype("<f4").tobytes()
+        ends = np.cumsum(size).tolist()
+        return [None if x is None else raw[e - n : e] for x, e, n in zip(rows, ends, size)]
+
+    return _batch_udf("binary", many)
 
 
 FLOATS = {"float16": "<f2", "float32": "<f4", "float64": "<f8"}

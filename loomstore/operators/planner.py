@@ -155,11 +155,41 @@ def strategies(tensors: DataFrame, k: int = 4) -> DataFrame:
     return tensors.filter("sketch IS NOT NULL").groupBy("group_key").applyInPandas(run, "group_key string, strategy string, cost double, n_bases int")
 
 
-def nearest_static(tensors: DataFrame, bases: DataFrame, d: int = 2) -> DataFrame:
-    """C12 without a changing set of bases: each tensor's nearest base of its group, earliest of equals. An equi-join on the group."""
-    b = bases.select("group_key", F.col("tensor_id").alias("base_id"), F.col("ord").alias("base_ord"), F.col("sketch").alias("base_sketch"))
-    met = tensors.join(b, "group_key").filter("tensor_id <> base_id").withColumn("distance", distance("sketch", "base_sketch", F.col("n_bits"), d))
-    best = met.groupBy("group_key", "tensor_id").agg(F.min(F.struct("distance", "base_ord", "base_id")).alias("b"))
+def _blocks(df: DataFrame, names: list[str], size: int) -> DataFrame:
+    """(group_key, tensor_id, ord, sketch, n_bits) -> blocks of a group of bounded size: group_key, then as `names`, ids, ords, sketches and bits as binaries."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        s = np.stack(rows.sketch.to_numpy()).astype("<i4")
+        return pd.DataFrame([(rows.group_key.iloc[0], *(rows[c].to_numpy().astype("<i8").tobytes() for c in ("tensor_id", "ord")), s.tobytes(), rows.n_bits.to_numpy().astype("<i8").tobytes())], columns=["group_key", *names])
+
+    run.__annotations__ = {}
+    # Dealt by hash to as many blocks as the largest group needs; a block has about `size` tensors at most.
+    most = df.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    dealt = df.filter("sketch IS NOT NULL").select("group_key", "tensor_id", "ord", "sketch", "n_bits", F.pmod(F.xxhash64("tensor_id"), F.lit(-(-most // size))).alias("__block"))
+    return dealt.groupBy("group_key", "__block").applyInPandas(run, "group_key string, " + ", ".join(f"{x} binary" for x in names))
+
+
+def nearest_static(tensors: DataFrame, bases: DataFrame, d: int = 2, size: int = 1024) -> DataFrame:
+    """C12 without a changing set of bases: each tensor's nearest base of its group, earliest of equals. Blocks of a group meet blocks of its bases, each pair one product; the best of each are then compared."""
+    schema = "group_key string, tensor_id long, distance double, base_ord long, base_id long"
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                t, b, bo, n = (np.frombuffer(x, "<i8") for x in (r.t, r.b, r.bo, r.n))
+                x, y = np.frombuffer(r.ts, "<i4").reshape(len(t), -1).astype(np.int64), np.frombuffer(r.bs, "<i4").reshape(len(b), -1).astype(np.int64)
+                order = np.lexsort((b, bo))  # the earliest first, so that the first of equals is it
+                b, bo, y = b[order], bo[order], y[order]
+                f, g = (x.astype(float), y.astype(float)) if max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < 1 << 20 else (x, y)  # whole numbers either way
+                sq = np.einsum("ij,ij->i", f, f)[:, None] + np.einsum("ij,ij->i", g, g)[None] - 2 * (f @ g.T)
+                dist = sq / d / np.maximum(n, 1)[:, None]
+                dist[t[:, None] == b[None]] = np.inf
+                j = dist.argmin(1)
+                ok = np.isfinite(dist[np.arange(len(t)), j])
+                yield pd.DataFrame({"group_key": r.group_key, "tensor_id": t[ok], "distance": dist[np.arange(len(t)), j][ok], "base_ord": bo[j][ok], "base_id": b[j][ok]})
+
+    met = _blocks(tensors, ["t", "to", "ts", "n"], size).drop("to").join(_blocks(bases, ["b", "bo", "bs", "bn"], size).drop("bn"), "group_key")
+    best = met.mapInPandas(run, schema).groupBy("group_key", "tensor_id").agg(F.min(F.struct("distance", "base_ord", "base_id")).alias("b"))
     return best.select("group_key", "tensor_id", F.col("b.base_id").alias("base_id"), F.col("b.distance").alias("distance"), predict_ratio(F.col("b.distance")).alias("predicted_ratio"))
 
 

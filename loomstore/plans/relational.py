@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import graph
+from ..operators import graph, ranks
 from ..operators.lineage import settle
 
 QUERIES, ORACLES = {}, {}
@@ -49,7 +49,9 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b01_layer_type", f"SELECT kind, count(*) AS n FROM (SELECT {KIND} AS kind FROM ({RESULTS})) GROUP BY kind")
 def b01(spark, d):
-    return results(spark, d).groupBy(X.layer_type(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """B1: counted by name, then by kind"""
+    names = results(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return names.groupBy(X.layer_type(F.col("name")).alias("kind")).agg(F.sum("n").alias("n"))
 
 
 @query("b02_null_filter", f"SELECT count(*) AS n, round(sum(ratio), 4) AS s FROM ({RESULTS}) WHERE zratio IS NOT NULL AND ratio IS NOT NULL")
@@ -351,26 +353,29 @@ def f04(spark, d):
 @query("f06_avg_by_layer", f"WITH t AS (SELECT {KIND} AS kind, * FROM ({RESULTS})) SELECT kind, count(*) AS n, round(avg(ratio), 6) AS ratio, round(avg(zratio), 6) AS zratio, round(avg(aratio), 6) AS aratio, row_number() OVER (ORDER BY kind = 'other', kind = 'norm', count(*) DESC, kind) AS place FROM t GROUP BY kind")
 def f06(spark, d):
     """Others last, norms before them"""
-    g = results(spark, d).groupBy(X.layer_type(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("ratio")).alias("ratio"), r(F.avg("zratio")).alias("zratio"), r(F.avg("aratio")).alias("aratio"))
+    cols = ("ratio", "zratio", "aratio")
+    names = results(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols], *[F.count(c).alias(f"n_{c}") for c in cols])
+    g = names.groupBy(X.layer_type(F.col("name")).alias("kind")).agg(F.sum("n").alias("n"), *[r(F.sum(f"s_{c}") / F.nullif(F.sum(f"n_{c}"), F.lit(0))).alias(c) for c in cols])
     w = Window.orderBy(F.col("kind") == "other", F.col("kind") == "norm", F.desc("n"), "kind")  # a row for each kind
     return g.withColumn("place", F.row_number().over(w).cast("long"))
 
 
+# Fixed rule: which ratio counts, by the size of the input.
 PICK = "coalesce(CASE WHEN bytes_in < 10240 THEN zratio ELSE aratio END, aratio, zratio)"
 
 
 @query("f07_weighted_null", f"WITH t AS (SELECT {KIND} AS kind, * FROM ({RESULTS})) SELECT kind, round(sum(ratio * bytes_in) / sum(bytes_in), 6) AS ratio, round(sum({PICK} * bytes_in) / sum(bytes_in), 6) AS best FROM t GROUP BY kind")
 def f07(spark, d):
     """The weight of a row counts even where its value is null"""
-    t = results(spark, d).withColumn("kind", X.layer_type(F.col("name")))
-    w = F.sum("bytes_in")
-    return t.groupBy("kind").agg(r(F.sum(F.col("ratio") * F.col("bytes_in")) / w).alias("ratio"), r(F.sum(F.expr(PICK) * F.col("bytes_in")) / w).alias("best"))
+    names = results(spark, d).groupBy("name").agg(F.sum("bytes_in").alias("w"), F.sum(F.col("ratio") * F.col("bytes_in")).alias("ratio"), F.sum(F.expr(PICK) * F.col("bytes_in")).alias("best"))
+    w = F.sum("w")
+    return names.groupBy(X.layer_type(F.col("name")).alias("kind")).agg(r(F.sum("ratio") / w).alias("ratio"), r(F.sum("best") / w).alias("best"))
 
 
 @query("f08_merge", f"WITH t AS (SELECT {KIND} AS kind, * FROM ({RESULTS})), a AS (SELECT kind, sum(aratio * bytes_in) / sum(bytes_in) AS v FROM t GROUP BY 1), b AS (SELECT kind, sum(aratio * bytes_in) / sum(bytes_in) AS v FROM t WHERE zratio IS NOT NULL GROUP BY 1) SELECT a.kind, round(CASE WHEN a.kind IN ('norm', 'other') THEN coalesce(b.v, a.v) ELSE a.v END, 6) AS v FROM a LEFT JOIN b ON a.kind = b.kind")
 def f08(spark, d):
     """Both variants in one pass"""
-    t = results(spark, d).withColumn("kind", X.layer_type(F.col("name")))
+    t = X.layer_types(results(spark, d))
     some = F.col("zratio").isNotNull()
     g = t.groupBy("kind").agg((F.sum(F.expr("aratio * bytes_in")) / F.sum("bytes_in")).alias("a"), (F.sum(F.when(some, F.expr("aratio * bytes_in"))) / F.sum(F.when(some, F.col("bytes_in")))).alias("b"))
     return g.select("kind", r(F.when(F.col("kind").isin("norm", "other"), F.coalesce("b", "a")).otherwise(F.col("a"))).alias("v"))
@@ -399,15 +404,17 @@ def f11(spark, d):
 
 @query("f12_percentiles", "SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS med, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def f12(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(r(F.avg("value")).alias("mean"), r(F.median("value")).alias("med"), r(F.percentile("value", 0.9)).alias("p90"), r(F.percentile("value", 0.99)).alias("p99"))
+    """exact, by places in ranges of values; no group's values are held together"""
+    e = table(spark, d, "events").select("event_type", "value")
+    q = ranks.quantiles(e, "value", {"med": 0.5, "p90": 0.9, "p99": 0.99}, ["event_type"])
+    mean = e.groupBy("event_type").agg(r(F.avg("value")).alias("mean"))
+    return mean.join(q, "event_type", "left").select("event_type", "mean", *[r(F.col(c)).alias(c) for c in ("med", "p90", "p99")])
 
 
 @query("f13_nearest_rank", "WITH t AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(CASE WHEN i = least(n - 1, floor(0.5 * n)) THEN value END) AS p50, max(CASE WHEN i = least(n - 1, floor(0.99 * n)) THEN value END) AS p99 FROM t GROUP BY event_type")
 def f13(spark, d):
-    w = Window.partitionBy("event_type")
-    t = table(spark, d, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda q: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))), F.col("value")))
-    return t.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.99).alias("p99"))
+    """the value at place min(n - 1, floor(q n))"""
+    return ranks.quantiles(table(spark, d, "events"), "value", {"p50": 0.5, "p99": 0.99}, ["event_type"], nearest=True)
 
 
 PRICES = "SELECT l_extendedprice / l_quantity / 1000 AS y, p_retailprice / 1000 AS x FROM lineitem JOIN part ON l_partkey = p_partkey"
@@ -420,8 +427,10 @@ def prices(spark, d):
 
 @query("f14_error_stats", f"SELECT round(avg(abs(y - x)), 6) AS mae, round(median(abs(y - x)), 6) AS medae, round(corr(x, y), 6) AS pearson FROM ({PRICES})")
 def f14(spark, d):
-    e = F.abs(F.col("y") - F.col("x"))
-    return prices(spark, d).agg(r(F.avg(e)).alias("mae"), r(F.median(e)).alias("medae"), r(F.corr("x", "y")).alias("pearson"))
+    """the median by places in ranges"""
+    t = prices(spark, d).withColumn("e", F.abs(F.col("y") - F.col("x")))
+    middle = ranks.quantiles(t, "e", {"medae": 0.5})
+    return t.agg(r(F.avg("e")).alias("mae"), r(F.corr("x", "y")).alias("pearson")).crossJoin(middle.select(r(F.col("medae")).alias("medae")))  # one row with one row
 
 
 @query("f15_linear_fit", f"SELECT round(avg(power(y - x, 2)), 6) AS mse, round(sqrt(avg(power(y - x, 2))), 6) AS rmse, round(avg(y - x), 6) AS bias, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM ({PRICES})")
@@ -519,10 +528,10 @@ def f24(spark, d):
 
 @query("f25_subclusters", "WITH t AS (SELECT o_custkey AS k, list(CAST(o_orderkey % 5 AS BIGINT)) AS moves, CAST(count(*) * 3 AS BIGINT) AS items FROM orders GROUP BY 1), s AS (SELECT k, items - list_sum(moves) AS rest, moves FROM t) SELECT k, CAST(size AS BIGINT) AS size, count(*) AS n FROM (SELECT k, rest AS size FROM s WHERE rest > 0 UNION ALL SELECT k, unnest(moves) FROM s) GROUP BY 1, 2")
 def f25(spark, d):
-    t = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(F.col("o_orderkey") % 5).alias("moves"), (F.count(F.lit(1)) * 3).alias("items"))
-    rest = F.col("items") - F.aggregate("moves", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = F.concat(F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")), F.col("moves"))
-    return t.select("k", F.explode(sizes).alias("size")).groupBy("k", "size").agg(F.count(F.lit(1)).alias("n"))
+    """moves are rows, so no group's list is gathered"""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 5).alias("size"))
+    rest = o.groupBy("k").agg((F.count(F.lit(1)) * 3 - F.sum("size")).alias("size")).filter("size > 0")
+    return rest.unionByName(o).groupBy("k", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f26_monthly_merge", "SELECT month, sum(n) AS n, sum(sum(n)) OVER (ORDER BY month) AS running FROM (SELECT strftime(ts, '%Y-%m-%d') AS month, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY month".replace("sum(n) AS n", "CAST(sum(n) AS BIGINT) AS n").replace("sum(sum(n)) OVER (ORDER BY month)", "CAST(sum(sum(n)) OVER (ORDER BY month) AS BIGINT)"))
@@ -538,9 +547,9 @@ def f26(spark, d):
 def f27(spark, d):
     """Not ntile, as the last bucket takes the remainder"""
     c = table(spark, d, "customer")
-    n = c.count()
-    rank = F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey"))
-    b = c.select("c_acctbal", (F.col("c_nationkey") % 3 == 0).alias("card"), F.least(F.lit(4), F.floor((rank - 1) / max(1, n // 5))).cast("string").alias("bucket"))
+    placed = ranks.places(c.select("c_acctbal", "c_custkey", (F.col("c_nationkey") % 3 == 0).alias("card")), [F.desc("c_acctbal"), F.asc("c_custkey")])
+    step = F.greatest(F.lit(1), F.floor(F.col("rows") / 5))
+    b = placed.select("c_acctbal", "card", F.least(F.lit(4), F.floor(F.col("place") / step)).cast("string").alias("bucket"))
     g = b.rollup("bucket").agg(F.count(F.lit(1)).alias("n"), r(100.0 * F.count(F.when(F.col("card"), 1)) / F.count(F.lit(1))).alias("complete"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
     return g.withColumn("bucket", F.coalesce("bucket", F.lit("Overall")))
 
@@ -580,15 +589,10 @@ def f33(spark, d):
 
 @query("h01_cdf", "WITH t AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, round(CASE WHEN n = 1 THEN 0 ELSE i / (n - 1) END, 9) AS y FROM t WHERE i % greatest(1, n // 3000) = 0")
 def h01(spark, d):
-    """The place in sorted order over n - 1: found inside ranges, shifted by the sizes of the ranges before, then thinned"""
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice").repartitionByRange("o_totalprice", "o_orderkey").withColumn("p", F.spark_partition_id())
-    o = settle(o)
-    sizes = o.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "b")
-    n = sizes.agg(F.sum("c")).first()[0] or 0
-    i = F.row_number().over(Window.partitionBy("p").orderBy("o_totalprice", "o_orderkey")) - 1
-    t = o.withColumn("i", i).join(F.broadcast(before), "p").withColumn("i", F.col("i") + F.col("b"))
-    return t.filter(F.col("i") % max(1, n // 3000) == 0).select("o_orderkey", r(F.col("i") / max(1, n - 1), 9).alias("y"))
+    """H1: the place in sorted order over n - 1, thinned"""
+    t = ranks.places(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.asc("o_totalprice"), F.asc("o_orderkey")])
+    thin = F.greatest(F.lit(1), F.floor(F.col("rows") / 3000))
+    return t.filter(F.col("place") % thin == 0).select("o_orderkey", r(F.when(F.col("rows") == 1, 0.0).otherwise(F.col("place") / (F.col("rows") - 1)), 9).alias("y"))
 
 
 TRACE = "SELECT c_mktsegment AS family, o_orderdate, o_orderkey, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey"

@@ -267,3 +267,55 @@ def test_sweep_is_the_solvers_on_first_tensors(spark):
         n = min(row["size"], len(x))
         r = planner.matrix(np.stack(x.sketch.to_numpy())[:n], int(x.n_bits.iloc[0]))
         assert row["cost"] == round(facility.cost(r, facility.greedy(r)), 9) and row["ratio"] == pytest.approx(row["cost"] / row["size"])
+
+
+def test_batch_kernels_are_the_single_ones():
+    rng = np.random.default_rng(7)
+    datas = [None, b"", b"abc", *(rng.integers(0, 256, 2 * n).astype(np.uint8).tobytes() for n in (1, 5, 64, 4000)), bytes(64)]
+    for x, y in zip(datas, K.sketch_many(datas, 2, 64)):
+        one = None if x is None else K.sketch(x, 2, 64)
+        assert (one is None) == (y is None) and (one is None or np.array_equal(one, y))
+    whole = K.sketch(datas[6], 2, 64)
+    parts = K.sketch_many([datas[6][c : c + 100] for c in range(0, 8000, 100)], 2, 64, np.arange(0, 8000, 100) // 2)
+    assert np.array_equal(np.sum(parts, 0), whole)
+    for x, y in zip(datas, K.entropy_many(datas)):
+        assert (x is None) == (y is None) and (x is None or abs(K.byte_entropy(x) - y) < 1e-12)
+    a, b = datas[3:], [bytes(len(x)) for x in datas[3:]]
+    assert K.hamming_many([None, *a], [b"", *b]) == [None, *(K.hamming(x, y) for x, y in zip(a, b))]
+    with pytest.raises(ValueError):
+        K.hamming_many([b"a"], [b"ab"])
+
+
+def test_nearest_static_base(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"g{i % 3}", i % 50, i, [int(v) for v in rng.integers(-9, 9, 8)], 4096) for i in range(300)] + [("lone", 1, 900, [1] * 8, 64), ("g0", 3, 901, None, 64)]
+    t = spark.createDataFrame(rows, "group_key string, ord long, tensor_id long, sketch array<int>, n_bits long")
+    got = {r["tensor_id"]: (r["base_id"], r["distance"]) for r in planner.nearest_static(t, t.filter("tensor_id % 4 = 0"), size=32).collect()}
+    want = {}
+    for g, _, i, s, n in rows:
+        near = [(sum((x - y) ** 2 for x, y in zip(s, z)) / 2 / n, o, j) for h, o, j, z, _ in rows if h == g and j % 4 == 0 and j != i and z] if s else []
+        if near:
+            want[i] = (min(near)[2], min(near)[0])
+    assert got == want
+
+
+def test_places_and_quantiles(spark):
+    from pyspark.sql import functions as F
+
+    from loomstore.operators import ranks
+
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 3 else f"k{i % 7}", float(v), i) for i, v in enumerate(rng.integers(0, 40, 900))] + [(None, 1.0, 1000), ("null", None, 1001)]
+    df = spark.createDataFrame(rows, "g string, v double, i long")
+    got = ranks.places(df, [F.desc("v"), F.asc("i")], ["g"]).collect()
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: (r["v"] is None, -(r["v"] or 0), r["i"]))
+        assert [r["place"] for r in own] == list(range(len(own))) and {r["rows"] for r in own} == {len(own)}
+    q = {r["g"]: r for r in ranks.quantiles(df, "v", {"a": 0.5, "b": 0.9}, ["g"]).collect()}
+    n = {r["g"]: r for r in ranks.quantiles(df, "v", {"a": 0.5, "b": 0.99}, ["g"], nearest=True).collect()}
+    for g in {r[0] for r in rows} - {"null"}:
+        v = sorted(r[1] for r in rows if r[0] == g)
+        assert q[g]["a"] == pytest.approx(np.quantile(v, 0.5)) and q[g]["b"] == pytest.approx(np.quantile(v, 0.9))
+        assert (n[g]["a"], n[g]["b"]) == (v[min(len(v) - 1, int(0.5 * len(v)))], v[min(len(v) - 1, int(0.99 * len(v)))])
+    assert ranks.places(df.limit(0), [F.col("v")]).count() == 0
