@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 
 import pyarrow as pa
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see, by spark.checkpoint.dir. Where that is unset (tests, one machine), a folder in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    """The folder that all machines see, by spark.checkpoint.dir. Where that is unset, a folder in the warehouse on one machine; on several, an error."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -22,14 +27,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _made.append(path)
     return path
 
 
+def written(spark: SparkSession, step, what: str) -> DataFrame:
+    """stored(step(), what), after which all that was written on the way there is deleted: no other result may still need it."""
+    mark = len(_made)
+    out = stored(step(), what)
+    for path in _made[mark:-1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _made[mark:-1]
+    return out
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: like settle, in fewer bytes."""
     small_batches(df.sparkSession)
