@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomstore.llm import byte_cnn, jaccard_join, packing, substring_dedup
 from loomstore.llm.queries import held_out
-from loomstore.llm.shared import stored
+from loomstore.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REJECT_BELOW = 0.5
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        now = docs
         if i + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
+            docs = written(spark, lambda: stage(spark, now, sf_dir), f"pipeline-{name}")  # noqa: B023  called at once
+        else:
+            docs = stage(spark, docs, sf_dir)
     return docs
