@@ -8,16 +8,15 @@
    equality, and grouped again by word.
 3. The lattice is folded with Spark's higher-order ``aggregate``. The models at hand are of the BPE kind, whose result is not the
    path of best total score (Viterbi's) but that of merging the best pair of neighbours again and again, so the fold's step
-   is such a merge. Its state is the cuts that are left and the edges that are still possible, each with the number of cuts
-   inside it; the step takes the first edge, by score and then place, that has one cut inside. What no piece covers falls back
-   to bytes. (For a unigram model the step would be Viterbi's; such a model is refused.)
-4. The block's texts are put together from their words' ids.
+   is such a merge. Its state is the cuts that are left, as bits of a long; the step takes the first edge, by score and then
+   place, that lies between two cuts and has one inside. (For a unigram model the step would be Viterbi's; such a model is refused.)
+4. The block's texts are put together from their words' ids. A character alone is its piece, or its bytes.
 
 Words that are frequent in a sample (every SAMPLE-th text) go through the same lattice first and are broadcast, with
 their ids, as at most FREQUENT words of at most LONG characters; this saves work and changes no result. A run of more
 than LONG characters without a place that no piece crosses (one letter a thousand times) is merged by a heap in the first pass.
 
-Decoding is a join by position in the piece table, as an expression: pieces as bytes, put together, read as UTF-8.
+Decoding is a join by position in the piece table, with Arrow's kernels: pieces as bytes, put together, read as UTF-8.
 """
 
 from __future__ import annotations
@@ -29,17 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import held, small_batches, stored, tidy
+from .shared import held, shuffle_partitions, small_batches, stored, tidy
 from .textops import chunks, mix, span_hashes, string_buffers
 
 MARK = "▁"
-FREQUENT, SAMPLE = 200_000, 8
+FREQUENT, SAMPLE, FREQUENT_TASKS = 400_000, 8, 64
 LONG = 32
-BLOCK_BYTES = 32 << 20
+#: Text of a block. A task's edges are sorted in memory, about 120 bytes for each of some 15 edges of a word; a block has about 50,000 words.
+BLOCK_BYTES, MOST_TASKS = 5 << 20, 20_000
 
 
 class Model:
@@ -54,7 +56,11 @@ class Model:
         norm, train = spec.normalizer_spec, spec.trainer_spec
         if train.model_type != 2 or not train.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces:
             raise ValueError(f"{path}: only BPE models with byte fallback and without normalisation are supported")
-        self.rows = [(p.piece, i, -float(p.score)) for i, p in enumerate(spec.pieces) if p.type == 1]
+        scores = sorted({p.score for p in spec.pieces if p.type == 1}, reverse=True)
+        place = {x: k for k, x in enumerate(scores)}
+        self.rows = [(p.piece, i, place[p.score]) for i, p in enumerate(spec.pieces) if p.type == 1]
+        if len(spec.pieces) >= 1 << 20 or LONG >= 1 << 6:
+            raise ValueError(f"{path}: too many pieces")
         self.table = {p: (rank, i) for p, i, rank in self.rows}
         self.longest = max(map(len, self.table))
         self.first_byte = next(i for i, p in enumerate(spec.pieces) if p.piece == "<0x00>")
@@ -69,8 +75,8 @@ class Model:
         self.beside[[at[a] for a, _ in side], [at[b] for _, b in side]] = True
         self.value = mix(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, str]:
-        """(start of each word, one more at the end; for each text the place of its first word, one more at the end; the marked texts end to end)."""
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, str, np.ndarray]:
+        """(start of each word, one more at the end; for each text the place of its first word, one more at the end; the marked texts end to end; a hash of each word)."""
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         text = "".join(marked)
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -80,11 +86,28 @@ class Model:
         start[1:-1] = ~self.beside[n[:-1], n[1:]]
         start[bounds] = True
         starts = np.flatnonzero(start)
-        return starts, np.searchsorted(starts, bounds), text
+        return starts, np.searchsorted(starts, bounds), text, span_hashes(self.value[cp], starts[:-1], starts[1:])
 
     def hashes(self, text: str, starts: np.ndarray) -> np.ndarray:
         return span_hashes(self.value[np.frombuffer(text.encode("utf-32-le"), np.uint32)], starts[:-1], starts[1:])
 
+    def settle(self, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of ids as fold gives them -> (offsets, values) of plain ids: a single character becomes its piece, or its bytes."""
+        single = np.flatnonzero(values < 0)
+        code, uniq = pd.factorize(values[single])
+        own = [[self.table[c][1]] if (c := chr(-1 - v)) in self.table else [b + self.first_byte for b in c.encode()] for v in uniq.tolist()]
+        size = np.array([len(x) for x in own], np.int64)
+        count = np.ones(len(values), np.int64)
+        count[single] = size[code]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        out = np.repeat(values, count)
+        if len(single):
+            flat = np.array([i for x in own for i in x], np.int32)
+            begin = np.cumsum(size) - size
+            step = np.arange(int(count[single].sum())) - np.repeat(np.cumsum(count[single]) - count[single], count[single])
+            out[np.repeat(ends[:-1][single], count[single]) + step] = flat[np.repeat(begin[code], count[single]) + step]
+        return ends[offsets], out
+
     def merged(self, w: str) -> list[int]:
         """The same merges as the fold's by a heap, for a word of any length."""
         n, pieces = len(w), self.table
@@ -130,8 +153,24 @@ def model(path: str) -> Model:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, rank): the normal pieces, and an empty one of id -1; a smaller rank is a better score. As large as the model, which is fixed."""
-    return spark.createDataFrame([*model(path).rows, ("", -1, 0.0)], "piece string, id int, rank double")
+    """(piece, id, rank): the normal pieces of two characters and more, and an empty one of id -1; a smaller rank is a better score, equal scores have one rank. As large as the model, which is fixed."""
+    return spark.createDataFrame([*(r for r in model(path).rows if len(r[0]) > 1), ("", -1, 0)], "piece string, id int, rank int")
+
+
+def _packed() -> Column:
+    """An edge as one long, in order of score and then place: a fourth of a struct's size in the sort that groups edges."""
+    return F.shiftleft(F.col("rank").cast("long"), 32) + F.shiftleft(F.col("s").cast("long"), 26) + F.shiftleft(F.col("e").cast("long"), 20) + F.col("id")
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _unpacked(x: Column) -> Column:
+    """id, ends (the bits of the edge's two places) and inner (those between)."""
+    part = lambda by, bits: F.shiftright(x, by).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    s, e = part(26, 6), part(20, 6)
+    return F.struct(part(0, 20).alias("id"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inner"))
 
 
 def _bind(value: Column, body) -> Column:
@@ -139,49 +178,45 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _byte_ids(char: Column, first_byte: int) -> Column:
-    h = F.hex(F.encode(char, "UTF-8"))
-    return F.transform(F.sequence(F.lit(0), (F.length(h) / 2 - 1).cast("int")), lambda i: (F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte))
+def fold(word: Column, packed: Column) -> Column:
+    """The ids of a word from its edges, as longs in order.
 
-
-def fold(words: DataFrame, first_byte: int) -> DataFrame:
-    """words (..., word, edges) -> the same with ids; edges (rank, s, e, id) are ascending. In steps, so that each column is computed once."""
+    All is one expression, in which each value is bound to a variable: a column that the optimiser may put in place of its name would be
+    computed again in each step. A character that is left alone becomes -1 less its code point, for Model.settle.
+    """
+    n = F.length(word)
 
     def step(now: Column, _: Column) -> Column:
-        """The best edge over two neighbours is taken; edges that begin or end at the cut between them are gone, those around it have one cut fewer."""
-        cuts, wide = now["cuts"], now["wide"]
+        """cuts: a bit for each place where the word is still cut. The first edge between two cuts that has one inside is taken."""
+        cuts, edges = now["cuts"], now["edges"]
+        fits = lambda x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)
+        taken = F.get(F.filter(edges, fits), F.lit(0))["inner"]
+        return F.struct(cuts.bitwiseAND(F.bitwise_not(F.coalesce(taken, F.lit(0).cast("long")))).alias("cuts"), edges.alias("edges"))
 
-        def merge(hit: Column) -> Column:
-            mid = F.get(F.filter(cuts, lambda c: (c > hit["s"]) & (c < hit["e"])), F.lit(0))
-            inner = lambda x, m: x["inner"] - F.when((x["s"] < m) & (m < x["e"]), 1).otherwise(0)
-            keep = lambda x, m: (x["s"] != m) & (x["e"] != m) & ~((x["s"] == hit["s"]) & (x["e"] == hit["e"]))
-            left = lambda m: F.transform(F.filter(wide, lambda x: keep(x, m)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), inner(x, m).alias("inner")))
-            return F.when(hit.isNull(), now).otherwise(_bind(mid, lambda m: F.struct(F.filter(cuts, lambda c: c != m).alias("cuts"), left(m).alias("wide"))))
+    def ids(end: Column) -> Column:
+        one = lambda s, e: F.get(F.filter(end["edges"], lambda x: x["ends"] == _bit(s).bitwiseOR(_bit(e))), F.lit(0))["id"]
+        part = lambda s, e: F.when(e - s == 1, -1 - F.ascii(F.substring(word, s + 1, F.lit(1)))).otherwise(one(s, e))
+        at = F.filter(F.sequence(F.lit(0), n), lambda i: end["cuts"].bitwiseAND(_bit(i)) != 0)
+        return _bind(at, lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), part))
 
-        return _bind(F.get(F.filter(wide, lambda x: x["inner"] == 1), F.lit(0)), merge)
-
-    n = F.length("word")
-    wide = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"] - 1).alias("inner")))
-    first = words.withColumn("state", F.struct(F.sequence(F.lit(0), n).alias("cuts"), wide.alias("wide")))
-    cuts = first.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.col("state"), step)["cuts"])
-    spans = cuts.withColumn("spans", F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("s"), F.slice("cuts", 2, F.size("cuts") - 1).alias("e")))
-    one = lambda p: F.get(F.filter("edges", lambda x: (x["s"] == p["s"]) & (x["e"] == p["e"])), F.lit(0))["id"]
-    part = lambda p: _bind(one(p), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_byte_ids(F.substring("word", p["s"] + 1, F.lit(1)), first_byte)))
-    return spans.withColumn("ids", F.flatten(F.transform("spans", part))).drop("state", "cuts", "spans")
+    first = F.struct((F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1).alias("cuts"), F.transform(packed, _unpacked).alias("edges"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, step, ids)
 
 
-def lattice(words: DataFrame, keys: list[str], pieces: DataFrame, longest: int, first_byte: int) -> DataFrame:
-    """words (keys, word, extra) -> (keys, ids, extra): one row for each of the keys. A null word has no ids."""
+def lattice(words: DataFrame, keys: list[str], pieces: DataFrame, longest: int) -> DataFrame:
+    """words (keys, word, extra) -> (keys, ids, extra): one row for each of the keys; ids as fold gives them. A null word has no ids."""
     n = F.length("word")
-    subs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(n - s, F.lit(longest))), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("word"), s + 1, k).alias("piece")))))
-    none = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("piece")))
-    # What belongs to the key itself goes with the empty piece, which each key has once.
-    parts = words.select(*keys, "word", "extra", F.explode(F.when(F.col("word").isNull(), none).otherwise(F.concat(none, subs))).alias("x"))
-    own = F.col("x.e") == 0
-    parts = parts.select(*keys, F.when(own, F.col("word")).alias("word"), F.when(own, F.col("extra")).alias("extra"), "x.s", "x.e", "x.piece")
-    edge = F.when(F.col("id") >= 0, F.struct("rank", "s", "e", "id"))
-    edges = parts.join(F.broadcast(pieces), "piece").groupBy(*keys).agg(F.max("word").alias("word"), F.max("extra").alias("extra"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    return fold(edges, first_byte).select(*keys, F.when(F.col("word").isNotNull(), F.col("ids")).alias("ids"), "extra")
+    # Each place, then each length from there. What belongs to the key itself goes with the empty piece at place -1, which each key has once.
+    last = F.when(F.col("word").isNull(), F.lit(-1)).otherwise(F.greatest(n - 2, F.lit(-1)))
+    starts = words.select(*keys, "word", "extra", F.explode(F.sequence(F.lit(-1), last)).alias("s"))
+    own = F.col("s") < 0
+    starts = starts.select(*keys, "word", F.when(own, F.col("extra")).alias("extra"), "s")
+    most = F.when(own, F.lit(2)).otherwise(F.least(n - F.col("s"), F.lit(longest)))
+    parts = starts.select(*keys, "word", "extra", "s", F.explode(F.sequence(F.lit(2), most)).alias("k"))
+    parts = parts.select(*keys, F.when(own, F.col("word")).alias("word"), "extra", "s", (F.col("s") + F.col("k")).alias("e"), F.when(own, F.lit("")).otherwise(F.substring(F.col("word"), F.col("s") + 1, F.col("k"))).alias("piece"))
+    met = parts.join(F.broadcast(pieces), "piece").select(*keys, "word", "extra", F.when(F.col("id") >= 0, _packed()).alias("edge"))
+    edges = met.groupBy(*keys).agg(F.max("word").alias("word"), F.max("extra").alias("extra"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    return edges.select(*keys, F.when(F.col("word").isNotNull(), fold(F.col("word"), F.col("edges"))).alias("ids"), "extra")
 
 
 def frequent(docs: DataFrame, path: str, text: str, pieces: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,11 +225,11 @@ def frequent(docs: DataFrame, path: str, text: str, pieces: DataFrame) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, at = model(path), 0
         for batch in batches:
-            own = [t for i, t in enumerate(batch.column(0).to_pylist(), at) if i % SAMPLE == 0 and t]
+            own = [t for t in batch.column(0).take(pa.array(range(-at % SAMPLE, batch.num_rows, SAMPLE), pa.int64())).to_pylist() if t]
             at += batch.num_rows
-            starts, _, joined = m.words(own)
+            starts, _, joined, h = m.words(own)
             fine = np.diff(starts) <= LONG
-            code, uniq = pd.factorize(m.hashes(joined, starts)[fine])
+            code, uniq = pd.factorize(h[fine])
             where = np.empty(len(uniq), np.int64)
             where[code[::-1]] = np.flatnonzero(fine)[::-1]
             a, b = starts[where].tolist(), starts[where + 1].tolist()
@@ -202,16 +237,20 @@ def frequent(docs: DataFrame, path: str, text: str, pieces: DataFrame) -> tuple[
 
     m, spark = model(path), docs.sparkSession
     often = docs.select(F.col(text).alias("text")).mapInArrow(tidy(run, ("sentencepiece",)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT)
-    often = stored(often.select("word"), "pieces-frequent").repartition("word").withColumn("extra", F.lit(None).cast("binary"))
+    often = stored(often.select("word"), "pieces-frequent").repartition(FREQUENT_TASKS, "word").withColumn("extra", F.lit(None).cast("binary"))
     # At most FREQUENT words of at most LONG characters, which is also the bound of the broadcast.
-    known = stored(lattice(often.withColumn("key", F.col("word")), ["key"], pieces, m.longest, m.first_byte).select("key", "ids"), "pieces-known").toArrow()
+    known = stored(lattice(often.withColumn("key", F.col("word")), ["key"], pieces, m.longest).select("key", "ids"), "pieces-known").toArrow()
     words = known.column("key").to_pylist()
     starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
     h = m.hashes("".join(words), starts) if words else np.zeros(0, np.uint64)
     order = np.argsort(h)
-    ids = [np.asarray(x, np.int32) for x in known.column("ids").to_pylist()]
-    flat = np.concatenate([ids[i] for i in order.tolist()]) if words else np.zeros(0, np.int32)
-    return h[order], np.concatenate([[0], np.cumsum([len(ids[i]) for i in order.tolist()])]).astype(np.int64), flat
+    if not words:
+        return h, np.zeros(1, np.int64), np.zeros(0, np.int32)
+    lists = known.column("ids").combine_chunks()
+    begin, flat = m.settle(lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False))
+    size = np.diff(begin)[order]
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return h[order], ends, flat[np.repeat(begin[:-1][order] - ends[:-1], size) + np.arange(ends[-1])].astype(np.int32)
 
 
 BLOCK = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("extra", pa.binary())])
@@ -229,8 +268,8 @@ class _Block:
         self.bytes = 0
 
     def add(self, m: Model, keys: list, texts: list[str], size: int) -> None:
-        starts, first, joined = m.words(texts)
-        code, uniq = pd.factorize(m.hashes(joined, starts))
+        starts, first, joined, h = m.words(texts)
+        code, uniq = pd.factorize(h)
         where = np.empty(len(uniq), np.int64)
         where[code[::-1]] = np.arange(len(code))[::-1]
         self.words.append([joined[a:b] for a, b in zip(starts[where].tolist(), starts[where + 1].tolist())])
@@ -268,7 +307,7 @@ class _Block:
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_pieces, ids, as the sentencepiece library gives them (without begin and end).
+    """A row for each row of docs: doc_id, n_pieces, ids, as the sentencepiece library gives them (without begin and end); ids as little-endian unsigned 32-bit integers.
 
     Null text is an empty one: no pieces. Rows of equal or null key stay rows of their own. A very long text is a block of its
     own. An empty table gives none. Other columns are not looked at.
@@ -304,7 +343,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             raise RuntimeError("a block of words came without its texts")
         keys, sizes, planes, hit, at, n, long = pickle.loads(bodies[0])
         hit, at = np.frombuffer(hit, "<i4"), np.frombuffer(at, "<i4")
-        offsets, values = got.offsets.to_numpy(), got.values.to_numpy(zero_copy_only=False)
+        offsets, values = model(path).settle(got.offsets.to_numpy(), got.values.to_numpy(zero_copy_only=False))
         extra = np.array([i for k in sorted(long) for i in long[k]], np.int32)
         # All ids of the block's words, wherever they come from, as one array: where each word's begin, and how many.
         source = np.concatenate([flat, values, extra])
@@ -321,30 +360,59 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         ends = np.concatenate([[0], np.cumsum(c)]).astype(np.int64)
         ids = source[np.repeat(where[places] - ends[:-1], c) + np.arange(ends[-1])]
         bounds = ends[np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i4"))])]
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-        return pa.table([pa.array(keys, pa.int64()), pa.array(np.diff(bounds), pa.int64()), lists], names=["doc_id", "n_pieces", "ids"])
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(4 * bounds), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+        return pa.table([pa.array(keys, pa.int64()), pa.array(np.diff(bounds), pa.int64()), packed], names=["doc_id", "n_pieces", "ids"])
 
     def in_group(t):
         from .shared import drop_held, give_back
 
-        drop_held()
+        drop_held(("sentencepiece",))
         try:
             return put_together(t)
         finally:
             give_back()
 
     blocks = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(cut, ("sentencepiece",)), "block long, place int, word string, extra binary")
-    rows = lattice(blocks.repartition("block"), ["block", "place"], pieces, m.longest, m.first_byte)
-    return rows.groupBy("block").applyInArrow(in_group, "doc_id long, n_pieces long, ids array<int>")
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    tasks = min(MOST_TASKS, 2 * (1 + size // BLOCK_BYTES))  # twice as many as blocks, so that few tasks get several
+    rows = lattice(blocks.repartition(max(shuffle_partitions(spark), tasks), "block"), ["block", "place"], pieces, m.longest)
+    return rows.groupBy("block").applyInArrow(in_group, "doc_id long, n_pieces long, ids binary")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "text") -> DataFrame:
-    """rows with the text of their ids added: pieces joined, bytes put together, marks read as spaces, the first one dropped.
+    """rows with the text of their ids (little-endian unsigned 32-bit integers) added: pieces joined, bytes put together, marks read as spaces, the first one dropped.
 
     Null ids give null, no ids an empty text. Bytes that are no UTF-8 become U+FFFD, one for each maximal wrong run
-    (the library: one for each wrong byte); encode() gives no such ids. An id outside the table counts for nothing. Other columns stay; one of that name is replaced.
+    (the library: one for each wrong byte); encode() gives no such ids. An id outside the table counts for nothing. Other columns
+    stay; one of that name is replaced.
     """
-    table = F.split(F.lit(",".join(x.hex() for x in model(path).raw)), ",")  # folded to a constant of the model's size
-    joined = F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.get(table, i), F.lit(""))), "")
-    text = F.replace(F.make_valid_utf8(F.unhex(joined).cast("string")), F.lit(MARK), F.lit(" "))
-    return rows.withColumn("__bytes", text).withColumn(name, F.when(F.startswith("__bytes", F.lit(" ")), F.substring("__bytes", F.lit(2), F.length("__bytes"))).otherwise(F.col("__bytes"))).drop("__bytes")
+    small_batches(rows.sparkSession)
+    keep = [c for c in rows.columns if c != name]
+    place = keep.index(ids)
+    kept = rows.select(*[rows[f"`{c}`"] for c in keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        table = pa.array([*m.raw, b""], pa.large_binary())
+        for batch in batches:
+            lists = batch.column(place)
+            raw = lists.cast(pa.large_binary()).fill_null(b"")
+            off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = raw.buffers()[2]
+            flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<u4") if data is not None and off[-1] > off[0] else np.zeros(0, "<u4")
+            flat = np.minimum(flat, len(m.raw))
+            ends = (off - off[0]) // 4
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), table.take(pa.array(flat))), pa.scalar(b"", pa.large_binary()))
+            high = np.concatenate([[0], np.cumsum((flat >= m.first_byte + 128) & (flat < m.first_byte + 256))])[ends]
+            odd = np.flatnonzero(np.diff(high))  # with bytes above 127, which may be wrong
+            if len(odd):
+                texts = joined.to_pylist()
+                for i in odd.tolist():
+                    texts[i] = texts[i].decode("utf-8", "replace").encode()
+                joined = pa.array(texts, pa.large_binary())
+            text = pc.replace_substring(joined.cast(pa.large_string()), MARK, " ")
+            text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+            text = pc.if_else(lists.is_null(), pa.scalar(None, pa.large_string()), text).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*keep, name])
+
+    return kept.mapInArrow(tidy(run, ("sentencepiece",)), T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())]))

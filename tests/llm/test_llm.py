@@ -248,7 +248,7 @@ def test_sentencepiece(spark):
     got = sp_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), path)
     back = {r["doc_id"]: r for r in sp_lattice.decode(got, path).collect()}
     for i, t in rows:
-        assert back[i]["ids"] == model.encode(t or "") and back[i]["text"] == (t or "")
+        assert np.frombuffer(back[i]["ids"], "<u4").tolist() == model.encode(t or "") and back[i]["text"] == (t or "")
 
 
 def test_byte_cnn(spark):
