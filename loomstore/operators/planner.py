@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import COEFFS, predict_ratio
+from ..functions.exprs import COEFFS, item_bytes, numel, predict_ratio
 
 PLAN_SCHEMA = "group_key string, tensor_id long, role string, base_id long, distance double, predicted_ratio double"
 
@@ -193,6 +193,14 @@ def nearest_static(tensors: DataFrame, bases: DataFrame, d: int = 2, size: int =
     return best.select("group_key", "tensor_id", F.col("b.base_id").alias("base_id"), F.col("b.distance").alias("distance"), predict_ratio(F.col("b.distance")).alias("predicted_ratio"))
 
 
+def bundle(named: DataFrame) -> DataFrame:
+    """Named (model, param, tensor_id, id, sketch, shape, dtype) -> rows for attach and flexsplit: a group for each parameter and shape, each content once, at its first place in the order of models; scalars are left out. n_bits is elements times bits of one."""
+    first = named.filter(F.size("shape") > 0).withColumn("group_key", F.concat_ws("\x00", F.col("param").cast("string"), F.to_json("shape")))
+    one = first.groupBy("group_key", "id").agg(F.min(F.struct("model", "tensor_id", "sketch", "shape", "dtype")).alias("f")).select("group_key", "f.*")
+    w = Window.partitionBy("group_key").orderBy("model", "tensor_id")
+    return one.select("group_key", F.row_number().over(w).cast("long").alias("ord"), "tensor_id", "sketch", (numel(F.col("shape")) * item_bytes(F.col("dtype")) * 8).cast("long").alias("n_bits"))
+
+
 # -- around the greedy rule ---------------------------------------------------------------------------
 
 
@@ -288,8 +296,6 @@ def heatmap(named: DataFrame, reference: str, top: int, d: int = 2) -> DataFrame
     base = a.filter(F.col("model") == reference).select("param", F.col("sketch").alias("base_sketch"), F.col("n_bits").alias("base_bits"))
     cells = a.join(far, "model").join(base, "param").select("param", "model", (1 - predict_ratio(distance("sketch", "base_sketch", F.col("base_bits"), d))).alias("saved"))
     last = cells.agg(F.max("param").alias("param"))
-    from pyspark.sql import Window
-
     # As many rows as models asked for.
     order = far.join(cells.join(last, "param").select("model", F.col("saved").alias("at_last")), "model", "left").withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("at_last"), "model"))).select("model", "place")
     return cells.join(order, "model").select("param", "model", "saved", "place")

@@ -90,13 +90,13 @@ def d06(spark, d):
     return catalog.sweep(t, t.filter("tensor_id % 3 = 0"), _edges(spark, d).select("tensor_id", "base_id"), t.filter("tensor_id % 11 <> 0"))[2]
 
 
-@query("d08_manifest", "WITH RECURSIVE e AS (SELECT doc_id AS id, doc_id // 2 AS base FROM documents WHERE doc_id > 0), c(id, hop) AS (SELECT doc_id, 0 FROM documents WHERE doc_id % 97 = 5 UNION SELECT base, hop + 1 FROM c JOIN e ON c.id = e.id), m AS (SELECT id, min(hop) AS hop FROM c GROUP BY 1) SELECT m.id AS tensor_id, hop, n_chars AS size_bytes, lang AS dtype, CASE WHEN m.id > 0 THEN 'planes' END AS codec, e.base AS base_id FROM m JOIN documents ON doc_id = m.id LEFT JOIN e ON e.id = m.id")
+@query("d08_manifest", "WITH RECURSIVE e AS (SELECT doc_id AS id, doc_id // 2 AS base FROM documents WHERE doc_id > 0), c(id, hop) AS (SELECT doc_id, 0 FROM documents WHERE doc_id % 97 = 5 UNION SELECT base, hop + 1 FROM c JOIN e ON c.id = e.id), m AS (SELECT id, min(hop) AS hop FROM c GROUP BY 1) SELECT m.id AS tensor_id, hop, n_chars AS size_bytes, lang AS dtype, CASE WHEN m.id > 0 THEN 'planes' ELSE '' END AS codec, coalesce(e.base, -1) AS base_id FROM m JOIN documents ON doc_id = m.id LEFT JOIN e ON e.id = m.id")
 def d08(spark, d):
     """The closure over base edges, each tensor described"""
     t = table(spark, d, "documents").select(F.col("doc_id").alias("tensor_id"), F.col("n_chars").alias("size_bytes"), F.array(F.lit(1).cast("long")).alias("shape"), F.col("lang").alias("dtype"))
     e = t.filter("tensor_id > 0").selectExpr("tensor_id", "tensor_id DIV 2 AS base_id", "'planes' AS codec")
     m = t.selectExpr("tensor_id % 97 AS model", "tensor_id AS param", "tensor_id")
-    return catalog.manifest(t, m, e, t.sparkSession.createDataFrame([(5,)], "model long")).drop("shape")
+    return catalog.manifest(t, m, e, t.sparkSession.createDataFrame([(5,)], "model long")).drop("shape").fillna({"codec": "", "base_id": -1})
 
 
 @query("d12_register", "SELECT 'tensor' AS kind, doc_id AS a, CASE WHEN doc_id % 4 = 0 THEN n_chars ELSE -n_chars END AS b FROM documents UNION ALL SELECT 'param', doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id + 1 END FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0 UNION ALL SELECT 'edge', doc_id, doc_id // 2 FROM documents WHERE doc_id % 5 = 1")
@@ -202,13 +202,13 @@ def k17(spark, d):
 # -- plans ------------------------------------------------------------------------------------------------
 
 
-@query("e03_candidates", "SELECT vec_id AS tensor_id, label = 3 AS own, CASE WHEN label <> 3 THEN vec_id % 10 END AS at, CASE WHEN label = 3 THEN 'p' || vec_id ELSE '' END AS param FROM embeddings WHERE vec_id % 17 <> 0")
+@query("e03_candidates", "SELECT vec_id AS tensor_id, label = 3 AS own, CASE WHEN label <> 3 THEN vec_id % 10 ELSE -1 END AS at, CASE WHEN label = 3 THEN 'p' || vec_id ELSE '' END AS param FROM embeddings WHERE vec_id % 17 <> 0")
 def e03(spark, d):
     """The order in which the greedy rule sees a model's tensors, after the hub's; scalars are left out"""
     e = table(spark, d, "embeddings")
     m = e.select(F.col("label").cast("string").alias("model"), F.concat(F.lit("p"), F.col("vec_id")).alias("param"), F.col("vec_id").alias("tensor_id"))
     t = e.select(F.col("vec_id").alias("tensor_id"), F.when(F.col("vec_id") % 17 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(64).cast("long"))).alias("shape"), (F.col("vec_id") % 10).alias("created_at"))
-    return planner.candidates(m, t, "3", with_existing=True).select("tensor_id", "own", "ord.at", "ord.param")
+    return planner.candidates(m, t, "3", with_existing=True).select("tensor_id", "own", F.coalesce("ord.at", F.lit(-1)).alias("at"), "ord.param")
 
 
 @query("e05_only_model")

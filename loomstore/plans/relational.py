@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import kernels as K
 from ..operators import graph, ranks
 from ..operators.lineage import settle
 
@@ -110,10 +111,14 @@ def b12(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey", "concat(p_brand, ':', p_name, ':', p_size) AS x").select("p_partkey", model.alias("model"), param.alias("param"))
 
 
-@query("b13_shapes", "SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN 0 ELSE 2 END AS dims, CASE WHEN p_size % 3 = 2 THEN 1 ELSE CAST(p_size * 4 AS BIGINT) END AS n FROM part")
+SHAPES = "CASE p_size % 4 WHEN 0 THEN concat('[', p_size, ',4]') WHEN 1 THEN concat('(', p_size, ', 4)') WHEN 2 THEN concat('[', p_size, ', ', p_partkey, ', 2]') ELSE 'bad' END"
+
+
+@query("b13_shapes", f"WITH t AS (SELECT p_partkey, CAST(regexp_extract_all({SHAPES}, '[0-9]+') AS BIGINT[]) AS shape FROM part) SELECT p_partkey, len(shape) AS dims, CAST(list_aggregate(list_concat([1], shape), 'product') AS BIGINT) AS n, CAST(to_json(shape) AS VARCHAR) AS text FROM t")
 def b13(spark, d):
-    p = table(spark, d, "part").selectExpr("p_partkey", "CASE p_size % 3 WHEN 0 THEN concat('[', p_size, ',4]') WHEN 1 THEN concat('(', p_size, ', 4)') ELSE 'bad' END AS s")
-    return p.withColumn("shape", X.parse_shape(F.col("s"))).select("p_partkey", F.size("shape").alias("dims"), X.numel(F.col("shape")).alias("n"))
+    """Shapes read from two notations (others have no dimensions), their elements, and written again without spaces"""
+    p = table(spark, d, "part").selectExpr("p_partkey", f"{SHAPES} AS s").withColumn("shape", X.parse_shape(F.col("s")))
+    return p.select("p_partkey", F.size("shape").alias("dims"), X.numel(F.col("shape")).alias("n"), F.to_json("shape").alias("text"))
 
 
 P_GRID = "WITH g AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity / 100.0 AS p FROM lineitem)"
@@ -658,3 +663,83 @@ def g07(spark, d):
     c = s.join(b, "g", "left").groupBy("g", "i", "size").agg(F.min(F.abs(F.col("i") - F.col("b")) / 1000).alias("ratio"), F.max(F.coalesce(F.col("i") == F.col("b"), F.lit(False))).alias("is_base"))
     cost = F.when(F.col("is_base"), F.col("size")).when(F.col("ratio").isNull(), F.lit(float("inf"))).otherwise(F.col("size") * F.col("ratio"))
     return c.groupBy("g").agg(r(F.sum(cost), 2).alias("cost"))
+
+
+# -- more of F, G, I: bytes of digests, per-model parts of a trace, splits -----------------------------------
+
+PAIRS_OF = "SELECT a.doc_id AS x, b.doc_id AS y, sha256(a.text) AS ha, sha256(b.text) AS hb FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
+BYTES = f"WITH p AS ({PAIRS_OF} WHERE a.text IS NOT NULL AND b.text IS NOT NULL), i AS (SELECT x, y, k, ('0x' || substr(ha, 2 * k + 1, 2))::INT AS a, ('0x' || substr(hb, 2 * k + 1, 2))::INT AS b FROM p, range(32) r(k))"
+
+
+def digests(spark, d) -> DataFrame:
+    """Neighbouring documents' digests as payloads of 32 bytes, which SQL has too"""
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("x"), F.unhex(F.sha2("text", 256)).alias("a"))
+    return t.join(t.select((F.col("x") - 1).alias("x"), F.col("x").alias("y"), F.col("a").alias("b")), "x")
+
+
+@query("k08_hamming_digests", f"{BYTES} SELECT x, y, CAST(sum(bit_count(xor(a, b))) AS BIGINT) AS bits, round(1 - sum(bit_count(xor(a, b))) / 256.0, 9) AS zero_bits FROM i GROUP BY x, y")
+def k08d(spark, d):
+    """K8, B21, B22"""
+    t = digests(spark, d).select("x", "y", K.hamming_udf()("a", "b").alias("bits"))
+    return t.withColumn("zero_bits", r(1 - F.col("bits") / 256, 9))
+
+
+@query("f20_digest_entropy", f"{BYTES}, u AS (SELECT x, y, k // 2 AS w, (((sum(a << (8 * (k % 2))) - sum(b << (8 * (k % 2)))) % 65536) + 65536) % 65536 AS v FROM i GROUP BY x, y, k // 2), s AS (SELECT x, y, 'xor' AS kind, xor(a, b) AS byte FROM i UNION ALL SELECT x, y, 'sub', v % 256 FROM u UNION ALL SELECT x, y, 'sub', v // 256 FROM u), c AS (SELECT x, y, kind, byte, count(*) AS n FROM s GROUP BY ALL) SELECT x, y, kind, round(-sum(n / 32.0 * log2(n / 32.0)), 6) AS h FROM c GROUP BY x, y, kind")
+def f20d(spark, d):
+    """entropy of the bytes of the XOR, and of the wrapping difference of 16-bit elements"""
+    t = digests(spark, d)
+    xor, sub = K._udf("binary", K.xor_bytes), K._udf("binary", K.sub_u16)
+    both = t.select("x", "y", F.explode(F.create_map(F.lit("xor"), xor("a", "b"), F.lit("sub"), sub("a", "b"))).alias("kind", "bytes"))
+    return both.select("x", "y", "kind", r(K.entropy_udf()("bytes")).alias("h"))
+
+
+@query("f21_xor_samples", f"{BYTES}, z AS (SELECT x, count(*) AS n, count(*) FILTER (a = b) AS zeros FROM i WHERE x % 4 = 0 GROUP BY x) SELECT count(*) AS samples, CAST(sum(n) AS BIGINT) AS bytes, round(avg(n), 6) AS mean, CAST(min(n) AS INT) AS lo, CAST(max(n) AS INT) AS hi, round(sum(zeros) / sum(n), 9) AS zero_ratio FROM z")
+def f21x(spark, d):
+    """of every fourth pair's XOR: how many, their bytes, and the share of zero bytes"""
+    z = digests(spark, d).filter("x % 4 = 0").select(K._udf("binary", K.xor_bytes)("a", "b").alias("s"))
+    one = z.select(F.octet_length("s").alias("n"), (F.length(F.regexp_replace(F.regexp_replace(F.hex("s"), "(..)", "$1,"), "[^,]*[1-9A-F][^,]*,", "")) / 3).alias("zeros"))
+    return one.agg(F.count(F.lit(1)).alias("samples"), F.sum("n").alias("bytes"), r(F.avg("n")).alias("mean"), F.min("n").alias("lo"), F.max("n").alias("hi"), r(F.sum("zeros") / F.sum("n"), 9).alias("zero_ratio"))
+
+
+@query("g05_model_parts", "WITH t AS (SELECT c_mktsegment AS family, o_orderkey AS step, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS day, o_totalprice AS orig, o_totalprice * (1 - (o_orderkey % 9) / 10.0) AS stored FROM orders JOIN customer ON o_custkey = c_custkey), m AS (SELECT family, day, sum(orig) AS orig, sum(stored) AS stored FROM t GROUP BY 1, 2), k AS (SELECT family, day, sum(orig) OVER w AS co, sum(stored) OVER w AS cs FROM m WINDOW w AS (PARTITION BY family ORDER BY day)) SELECT family, day, round(co - coalesce(lag(co) OVER w, 0), 2) AS orig, round(cs - coalesce(lag(cs) OVER w, 0), 2) AS stored, round((1 - cs / co) * 100, 6) AS running FROM k WHERE lower(family) <> 'machinery' WINDOW w AS (PARTITION BY family ORDER BY day)")
+def g05(spark, d):
+    """From cumulative bytes each step's own (the difference, the first from 0), and the running reduction of each family but one"""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("family"))
+    price = F.col("o_totalprice")
+    t = table(spark, d, "orders").join(c, "o_custkey").select("family", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long").alias("day"), price.alias("orig"), (price * (1 - F.col("o_orderkey") % 9 / 10)).alias("stored"))
+    w = Window.partitionBy("family").orderBy("day")  # a row for each day
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    k = t.filter(F.lower("family") != "machinery").groupBy("family", "day").agg(F.sum("orig").alias("o"), F.sum("stored").alias("s")).select("family", "day", F.sum("o").over(upto).alias("co"), F.sum("s").over(upto).alias("cs"))
+    own = lambda c: r(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0)), 2)
+    return k.select("family", "day", own("co").alias("orig"), own("cs").alias("stored"), r((1 - F.col("cs") / F.col("co")) * 100).alias("running"))
+
+
+@query("i06_split", "SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 1) < 'c' AS train, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+def i06(spark, d):
+    """Train and test by a hash of the key, three fourths to one"""
+    train = F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 1) < "c"
+    return table(spark, d, "orders").groupBy(train.alias("train")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query("i09_first_seen", "WITH f AS (SELECT l_suppkey AS id, min(l_orderkey * 10 + l_linenumber) AS seen FROM lineitem GROUP BY 1) SELECT id, row_number() OVER (ORDER BY seen, id) - 1 AS place FROM f")
+def i09(spark, d):
+    """Distinct ids in the order in which they are first seen, as a problem's rows are numbered"""
+    f = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seen"))
+    return ranks.places(f, [F.asc("seen"), F.asc("id")]).select("id", "place")
+
+
+@query("a19_csv_json", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def a19(spark, d):
+    """Rows written as CSV and as JSON lines, read again with explicit schemas, and joined through a view"""
+    import uuid
+
+    settle(spark.range(1))
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/text-{uuid.uuid4().hex}"
+    t = table(spark, d, "supplier")
+    t.select("s_suppkey", "s_name").write.option("header", True).csv(f"{base}/csv")
+    t.select("s_suppkey", "s_nationkey", "s_acctbal").write.json(f"{base}/json")
+    kind = {f.name: f.dataType.simpleString() for f in t.schema}
+    view = f"suppliers_{uuid.uuid4().hex}"
+    spark.read.schema(f"s_suppkey {kind['s_suppkey']}, s_name string").option("header", True).csv(f"{base}/csv").createOrReplaceTempView(view)
+    rows = spark.read.schema(", ".join(f"{c} {kind[c]}" for c in ("s_suppkey", "s_nationkey", "s_acctbal"))).json(f"{base}/json")
+    return spark.table(view).join(rows, "s_suppkey").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")

@@ -195,11 +195,45 @@ def s01(spark, d):
 
 @query("l01_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
 def l01(spark, d):
-    """Tumbling windows, as in a stream with a watermark"""
-    e = table(spark, d, "events").withWatermark("ts", "1 hour")
+    """Tumbling windows of a table"""
+    return _hourly(table(spark, d, "events"))
+
+
+def _hourly(e: DataFrame) -> DataFrame:
     return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("v")).select(F.col("window.start").alias("start"), "event_type", "n", "v")
 
 
+@query("s02_stream_windows", "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events) SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events, m GROUP BY 1, 2, mark HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark")
+def s02(spark, d):
+    """The same windows over a file stream in several micro-batches with a watermark of an hour: a window is written once, when the watermark has passed its end; those still open at the end are not"""
+    from ..operators.lineage import settle
+    from ..operators.ranks import places
+
+    base = file_root(spark, "windows")
+    e = settle(places(table(spark, d, "events").select("ts", "event_type", "value"), [F.asc("ts")]))
+    for i in range(STREAM_FILES):
+        e.filter(f"place * {STREAM_FILES} DIV rows = {i}").select("ts", "event_type", "value").repartition(1).write.mode("append").parquet(f"{base}/in")
+    rows = spark.readStream.schema(e.select("ts", "event_type", "value").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = _hourly(rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").withColumn("start", F.col("start").cast(e.schema["ts"].dataType))
+
+
+@query("e07_bundle")
+def e07(spark, d):
+    """Models as one bundle, grouped by parameter and shape, each tensor once in the order of models; bits from shape and kind of element"""
+    t = tensors(spark, d).withColumn("id", K.content_hash_udf()("payload"))
+    place = F.row_number().over(Window.partitionBy("group_key").orderBy("ord", "tensor_id"))
+    named = t.select("id", "sketch", F.col("group_key").alias("model"), (place % 8).alias("param"), "tensor_id", F.array((F.octet_length("payload") / 4).cast("long")).alias("shape"), F.lit("float32").alias("dtype"))
+    return planner.flexsplit(planner.bundle(named), keep_raw_from=0.70)
+
+
+@query("g11_distances")
+def g11(spark, d):
+    """Solvers on distances of the sketches over the root of their bits, with ratios by the distance curve and none beyond a limit"""
+    return facility.compare_distances(tensors(spark, d))
+
+
 def file_root(spark: SparkSession, what: str) -> str:
     """A new folder in the shared one."""
     from ..operators.lineage import settle

@@ -319,3 +319,39 @@ def test_places_and_quantiles(spark):
         assert q[g]["a"] == pytest.approx(np.quantile(v, 0.5)) and q[g]["b"] == pytest.approx(np.quantile(v, 0.9))
         assert (n[g]["a"], n[g]["b"]) == (v[min(len(v) - 1, int(0.5 * len(v)))], v[min(len(v) - 1, int(0.99 * len(v)))])
     assert ranks.places(df.limit(0), [F.col("v")]).count() == 0
+
+
+def test_estimates_of_distance():
+    a, b = np.arange(8, dtype=np.int32), np.zeros(8, np.int32)
+    assert K.hamming_estimate(a, b, 2) == np.median([0 + 1 + 4 + 9, 16 + 25 + 36 + 49]) and K.hamming_estimate(a, b, 4) == np.median([1, 13, 41, 85])
+
+
+def test_distance_solvers(spark):
+    from pyspark.sql import functions as F
+
+    from loomstore.functions import exprs as X
+
+    grid = np.array([0.0, 1e-5, 1e-4, 8.75e-4, 9e-4, 1e-2, 1.0])
+    df = spark.createDataFrame([(float(v),) for v in grid], "d double")
+    assert np.allclose(facility.curve(grid), [r[0] for r in df.select(X.curve_ratio(F.col("d"))).collect()])
+    assert facility.curve(np.array([0.5]), 0.1)[0] == np.inf
+    got = {(r["group_key"], r["method"]): r for r in QUERIES["g11_distances"](spark, D).collect()}
+    for k, x in grouped(spark).items():
+        r = facility.curve(facility.euclidean(np.stack(x.sketch.to_numpy()), x.n_bits.to_numpy().astype(float)))
+        np.fill_diagonal(r, 0)
+        b = facility.primal_dual(r)
+        assert got[k, "primal-dual"]["n_bases"] == len(b) and got[k, "primal-dual"]["cost"] == pytest.approx(facility.cost(r, b))
+        assert got[k, "seeded"]["cost"] <= got[k, "seeds"]["cost"] + 1e-9
+    t = spark.createDataFrame([("g", i, i, [i * 1000] * 4, 64) for i in range(3)], "group_key string, ord long, tensor_id long, sketch array<int>, n_bits long")
+    known = spark.createDataFrame([("g", 0, 1, 0.01), ("g", 2, 1, 0.01)], "group_key string, i long, j long, ratio double")
+    best = facility.compare_distances(t, override=known).filter("method = 'greedy'").first()
+    assert (best["n_bases"], best["cost"]) == (1, pytest.approx(1.02))
+
+
+def test_bundle(spark):
+    rows = [("m1", "p", 1, "a", [1, 2], [4, 2], "float16"), ("m0", "p", 9, "a", [1, 2], [4, 2], "float16"), ("m2", "p", 3, "b", [1, 3], [4, 2], "float16"), ("m2", "p", 4, "b", [1, 3], [8], "float16"), ("m2", "s", 5, "c", [0, 0], [], "float16"), ("m2", "q", 6, "a", [1, 2], [4, 2], "float32")]
+    df = spark.createDataFrame(rows, "model string, param string, tensor_id long, id string, sketch array<int>, shape array<long>, dtype string")
+    got = sorted(((r["group_key"].split("\x00")[0], r["ord"], r["tensor_id"], r["n_bits"]) for r in planner.bundle(df).collect()))
+    assert got == [("p", 1, 4, 128), ("p", 1, 9, 128), ("p", 2, 3, 128), ("q", 1, 6, 256)]
+    plan = QUERIES["e07_bundle"](spark, D)
+    assert plan.filter("role = 'delta' AND predicted_ratio >= 0.70").isEmpty() and plan.count() > 0
