@@ -9,9 +9,9 @@ equal windows have equal anchors; neighbouring windows mostly share theirs, and
 2. The texts that have such anchors give their segments around them. Equal segments are one, with the least
    document that has it; the distinct segments are the reference.
 3. References are dealt to shards of bounded size by anchor. A shard's suffix automaton knows for each state
-   the least document whose segment ends there; its segments are streamed through it, and the state of
+   the least document whose segment ends there; the texts' distinct segments are streamed through it, and the state of
    the last `window` words (matching statistics cut at that length) tells the least document that has them.
-   An anchor with very many segments is cut into single windows first, which meet by their content.
+   An anchor with more segments than a shard takes is cut into single windows first, which meet by their content.
 4. The windows so found go back to their documents, and the words that they cover are removed.
 """
 
@@ -32,7 +32,7 @@ from .shared import small_batches, stored, tidy, tidy_group
 from .textops import chunks, gram_hashes, string_buffers, word_hashes, words
 
 GRAM = 7
-SHARD_SEGMENTS, HOT_SEGMENTS = 8_000, 2_000
+SHARD_SEGMENTS = 8_000
 META = np.dtype([("doc_id", "<i8"), ("null", "?"), ("n", "<i4"), ("node", "<i8")])
 
 
@@ -245,7 +245,7 @@ def least_documents(found: DataFrame, window: int) -> DataFrame:
     of = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs"), F.min("first").alias("lo"), F.max("last").alias("hi"))
     # An anchor that one document has alone (another's had equal leading bits) is left out.
     known = stored(one.join(of.filter("lo < hi").select("anchor", "segs"), "anchor"), "dedup-known")
-    total = known.filter("segs > 1").count()
+    total = known.count()
     shards = max(1, -(-total // SHARD_SEGMENTS))
 
     def by_automaton(rows: pd.DataFrame) -> pd.DataFrame:
@@ -254,23 +254,16 @@ def least_documents(found: DataFrame, window: int) -> DataFrame:
         auto = SuffixAutomaton(seqs, rows["first"].tolist())
         return pd.DataFrame({"anchor": rows.anchor, "seg": rows.seg, "least": [np.array(auto.least_marks(s, window), "<i8").tobytes() for s in seqs]})
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            least = [np.full(len(w) // 8 - window + 1, f, "<i8").tobytes() for w, f in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least, pa.binary())], names=["anchor", "seg", "least"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(a, s, f, i, w[8 * i : 8 * (i + window)]) for a, s, f, w in zip(*(c.to_pylist() for c in b.columns)) for i in range(len(w) // 8 - window + 1)]
             yield pa.RecordBatch.from_pylist([dict(zip(("anchor", "seg", "first", "i", "words"), r)) for r in rows], schema=pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int64()), ("i", pa.int32()), ("words", pa.binary())]))
 
     schema, cols = "anchor long, seg long, least binary", ("anchor", "seg", "first", "words")
-    single = known.filter("segs = 1").select(*cols).mapInArrow(tidy(alone), schema)
-    some = known.filter(f"segs BETWEEN 2 AND {HOT_SEGMENTS}").select(*cols, F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    some = some.groupBy("shard").applyInPandas(tidy_group(by_automaton), schema)
-    out = single.unionByName(some)
-    if not known.filter(f"segs > {HOT_SEGMENTS}").isEmpty():
-        piece = known.filter(f"segs > {HOT_SEGMENTS}").select(*cols).mapInArrow(tidy(cut), "anchor long, seg long, first long, i int, words binary")
+    some = known.filter(f"segs <= {SHARD_SEGMENTS}").select(*cols, F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    out = some.groupBy("shard").applyInPandas(tidy_group(by_automaton), schema)
+    if not known.filter(f"segs > {SHARD_SEGMENTS}").isEmpty():
+        piece = known.filter(f"segs > {SHARD_SEGMENTS}").select(*cols).mapInArrow(tidy(cut), "anchor long, seg long, first long, i int, words binary")
         piece = stored(piece.select("anchor", "seg", "first", "i", F.xxhash64("words").alias("x"), F.xxhash64(F.reverse(F.hex("words"))).alias("y")), "dedup-hot")
         least = piece.groupBy("x", "y").agg(F.min("first").alias("least"))
         listed = piece.join(least, ["x", "y"]).groupBy("anchor", "seg").agg(F.sort_array(F.collect_list(F.struct("i", "least"))).alias("all"))

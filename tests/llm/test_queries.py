@@ -182,8 +182,9 @@ def test_op7(spark, folder, rows):
     assert queries.op7_substring_dedup(spark, f"{folder}/none").count() == 0
 
 
-def test_op7_on_hot_passages(spark):
+def test_op7_on_hot_passages(spark, monkeypatch):
     """More distinct segments around one anchor than a shard takes, and a text that repeats itself."""
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", 1000)
     rng, common = random.Random(6), " ".join(f"c{i}" for i in range(13))
     rows = [(i, f"{' '.join(rng.choices('abcdefghij', k=9))} {common} {' '.join(rng.choices('abcdefghij', k=9))}") for i in range(3000)] + [(5000, "m n o " * 400), (5001, "o m n " * 300)]
     want = bag(repeats(rows, 13))
