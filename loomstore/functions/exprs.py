@@ -180,3 +180,20 @@ def bits_to_ratio(h: Column) -> Column:
 def valid_blob_id(name: Column) -> Column:
     """B28"""
     return (F.length(name) > 0) & ~name.contains("/") & ~name.contains("\\") & ~name.contains("..")
+
+
+def blob_answer(blob_id: Column, size: Column, ranges: Column, known: Column) -> Column:
+    """How a request for a blob is answered: struct (status, first, last), the bytes sent being first to last.
+
+    400 for what is no id, 404 where there is no blob (size null), 304 if `known` (a list of quoted ids) has it, 416 for a range that is
+    not one single range of bytes inside the blob, 206 for a range, 200 for all. The end of a range may lie beyond the blob.
+    """
+    spec = F.regexp_extract(ranges, r"^bytes=(\d*)-(\d*)$", 0)
+    a, b = (F.nullif(F.regexp_extract(ranges, r"^bytes=(\d*)-(\d*)$", i), F.lit("")).try_cast("bigint") for i in (1, 2))
+    first = F.when(a.isNull(), F.greatest(F.lit(0).cast("long"), size - b)).otherwise(a)
+    last = F.when(a.isNull() | b.isNull(), size - 1).otherwise(F.least(b, size - 1))
+    wrong = (spec == "") | (a.isNull() & (b.isNull() | (b == 0))) | (first >= size) | (last < first)
+    etag = F.exists(F.split(known, ","), lambda x: F.trim(x) == F.concat(F.lit('"'), blob_id, F.lit('"')))
+    status = F.when(~valid_blob_id(blob_id), 400).when(size.isNull(), 404).when(F.coalesce(etag, F.lit(False)), 304).when(ranges.isNull(), 200).when(wrong, 416).otherwise(206)
+    sent = lambda x, whole: F.when(status == 206, x).when(status == 200, whole)
+    return F.struct(status.alias("status"), sent(first, F.lit(0).cast("long")).alias("first"), sent(last, size - 1).alias("last"))

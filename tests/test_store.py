@@ -355,3 +355,19 @@ def test_bundle(spark):
     assert got == [("p", 1, 4, 128), ("p", 1, 9, 128), ("p", 2, 3, 128), ("q", 1, 6, 256)]
     plan = QUERIES["e07_bundle"](spark, D)
     assert plan.filter("role = 'delta' AND predicted_ratio >= 0.70").isEmpty() and plan.count() > 0
+
+
+def test_answers_to_requests(spark):
+    from pyspark.sql import functions as F
+
+    from loomstore.functions import exprs as X
+
+    rows = [
+        ("ab", 10, None, None, (200, 0, 9)), ("ab", 10, "bytes=2-4", None, (206, 2, 4)), ("ab", 10, "bytes=2-", None, (206, 2, 9)), ("ab", 10, "bytes=-3", None, (206, 7, 9)),
+        ("ab", 10, "bytes=-30", None, (206, 0, 9)), ("ab", 10, "bytes=2-400", None, (206, 2, 9)), ("ab", 10, "bytes=10-", None, (416, None, None)), ("ab", 10, "bytes=4-2", None, (416, None, None)),
+        ("ab", 10, "bytes=1-2,4-5", None, (416, None, None)), ("ab", 10, "lines=1-2", None, (416, None, None)), ("ab", 10, "bytes=-0", None, (416, None, None)), ("ab", 10, "bytes=-", None, (416, None, None)),
+        ("ab", 10, "bytes=1-2", '"x", "ab"', (304, None, None)), ("ab", 10, None, '"x"', (200, 0, 9)), ("ab", None, None, None, (404, None, None)), ("a/b", 10, None, None, (400, None, None)), ("ab", 10, "bytes=99999999999999999999-", None, (416, None, None)),
+    ]
+    df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, id string, size long, ranges string, known string")
+    got = df.select("i", X.blob_answer(F.col("id"), F.col("size"), F.col("ranges"), F.col("known")).alias("a")).orderBy("i").collect()
+    assert [tuple(r["a"]) for r in got] == [r[4] for r in rows]
