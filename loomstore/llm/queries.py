@@ -95,4 +95,28 @@ QUERIES = {
     "op10_byte_cnn": op10_byte_cnn,
 }
 
+ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+#: Tokenizers, learned weights, ranks that settle and approximate search are beyond SQL; the tests compare those with the libraries or brute force.
 ORACLES: dict[str, str] = {}
+ORACLES["op4_segment_topk"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+ORACLES["op6_jaccard_join"] = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ABC}', '{ABC.lower()}'), {WORDS}) AS l FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(l, i, i + 3), ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 85 * (p.n + q.n - o)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(x, y) AS (SELECT DISTINCT x, x FROM b UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) m ON m.x = d.doc_id"""
+ORACLES["op7_substring_dedup"] = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS l FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(l, i, i + 12), ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) - 11)) AS i FROM w WHERE len(l) >= 13)),
+f AS (SELECT s, min(doc_id) AS least FROM p GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM p JOIN f USING (s), range(13) t(k) WHERE least < doc_id),
+k AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM w) a ANTI JOIN gone ON gone.doc_id = a.doc_id AND gone.i = a.i GROUP BY 1)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
