@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,10 +155,15 @@ def segments(docs: DataFrame, hits: DataFrame, window: int, n_ranges: int) -> Da
                         if hit[p]:
                             runs.setdefault(h[i + p : i + q + window - 1].tobytes(), []).append(p)
                     for w, places in runs.items():
-                        for col, v in zip(out, (int(value[places[0]]), int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), key, node, np.array(places, "<i4").tobytes(), w)):
-                            col.append(v)
+                        out[0].append(value[places[0]])
+                        out[1].append(xxhash.xxh3_64_intdigest(w))
+                        out[2].append(key)
+                        out[3].append(node)
+                        out[4].append(np.array(places, "<i4").tobytes())
+                        out[5].append(w)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                    first = [pa.array(np.array(out[0], np.int64)), pa.array(np.array(out[1], np.uint64).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*first, *(pa.array(c, f.type) for c, f in zip(out[2:], list(schema)[2:]))], schema=schema)
 
     return docs.join(hits, "doc_id").select("doc_id", "text", "lists").mapInArrow(tidy(run), "anchor long, seg long, doc_id long, node long, starts binary, words binary")
 
@@ -166,59 +172,65 @@ class SuffixAutomaton:
     """Of several sequences; each state knows the least mark of the sequences in which it occurs."""
 
     def __init__(self, sequences, marks):
-        self.next, self.link, self.len, self.mark = [{}], [-1], [0], [2**63 - 1]
+        none = 2**63 - 1
+        next_, link, length, least = [{}], [-1], [0], [none]
+
+        def split(p: int, c, q: int) -> int:
+            """The state of the longest string of p followed by c, taken out of q if that has longer ones."""
+            if length[q] == length[p] + 1:
+                return q
+            clone = len(length)
+            next_.append(dict(next_[q]))
+            link.append(link[q])
+            length.append(length[p] + 1)
+            least.append(none)
+            link[q] = clone
+            while p >= 0 and next_[p].get(c) == q:
+                next_[p][c] = clone
+                p = link[p]
+            return clone
+
         for seq, mark in zip(sequences, marks):
             last = 0
             for c in seq:
-                last = self._extend(last, c, mark)
-        for v in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
-            up = self.link[v]
-            if self.mark[v] < self.mark[up]:
-                self.mark[up] = self.mark[v]
-
-    def _new(self, next_, link, length, mark) -> int:
-        self.next.append(next_), self.link.append(link), self.len.append(length), self.mark.append(mark)
-        return len(self.len) - 1
-
-    def _split(self, p: int, c, q: int) -> int:
-        """The state of the longest string of p followed by c, taken out of q if that has longer ones."""
-        if self.len[q] == self.len[p] + 1:
-            return q
-        clone = self._new(dict(self.next[q]), self.link[q], self.len[p] + 1, 2**63 - 1)
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
-            p = self.link[p]
-        return clone
-
-    def _extend(self, last: int, c, mark: int) -> int:
-        q = self.next[last].get(c)
-        if q is not None:
-            cur = self._split(last, c, q)
-        else:
-            cur, p = self._new({}, 0, self.len[last] + 1, 2**63 - 1), last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = cur
-                p = self.link[p]
-            if p >= 0:
-                self.link[cur] = self._split(p, c, self.next[p][c])
-        self.mark[cur] = min(self.mark[cur], mark)
-        return cur
+                q = next_[last].get(c)
+                if q is not None:
+                    last = split(last, c, q)
+                else:
+                    cur, p = len(length), last
+                    next_.append({})
+                    link.append(0)
+                    length.append(length[last] + 1)
+                    least.append(none)
+                    while p >= 0 and c not in next_[p]:
+                        next_[p][c] = cur
+                        p = link[p]
+                    if p >= 0:
+                        link[cur] = split(p, c, next_[p][c])
+                    last = cur
+                if mark < least[last]:
+                    least[last] = mark
+        for v in sorted(range(1, len(length)), key=length.__getitem__, reverse=True):
+            if least[v] < least[link[v]]:
+                least[link[v]] = least[v]
+        self.next, self.link, self.len, self.mark = next_, link, length, least
 
     def least_marks(self, seq, window: int) -> list[int]:
         """For each window of the sequence the least mark of the sequences that have it (2**63 - 1: none): matching statistics cut at the window's length."""
+        next_, link, length, mark = self.next, self.link, self.len, self.mark
         out, v, n = [], 0, 0
-        for i, c in enumerate(seq):
-            while v and c not in self.next[v]:
-                v = self.link[v]
-                n = self.len[v]
-            if c in self.next[v]:
-                v, n = self.next[v][c], n + 1
-            while v and self.len[self.link[v]] >= window:
-                v = self.link[v]
+        for i, c in enumerate(seq, 1):
+            while v and c not in next_[v]:
+                v = link[v]
+                n = length[v]
+            to = next_[v].get(c)
+            if to is not None:
+                v, n = to, n + 1
+            while v and length[link[v]] >= window:
+                v = link[v]
             n = min(n, window) if v else 0
-            if i + 1 >= window:
-                out.append(self.mark[v] if n >= window else 2**63 - 1)
+            if i >= window:
+                out.append(mark[v] if n >= window else 2**63 - 1)
         return out
 
 
@@ -317,6 +329,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     place, types = keep.index(text), both.schema
     joined = both.join(verdicts, F.col(f"`{key}`").cast("long") == F.col("__key"), "left").select(*[F.col(f"`{c}`") for c in keep], "__marks")
 
+    span = np.arange(window)
+
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column(place))
@@ -327,14 +341,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
                 gone = np.zeros(len(s), bool)
                 for d, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()), a):
                     if verdict[d]:
-                        node = _node(word_hashes(raw, s[i:j], e[i:j]))
-                        for m in verdict[d]:
-                            if m["node"] != node:
-                                continue
-                            if m["starts"] is None:
-                                gone[i:j] = True
-                            else:
-                                gone[i + (np.frombuffer(m["starts"], "<i4")[:, None] + np.arange(window)).reshape(-1)] = True
+                        lo, hi = (s[i], e[j - 1]) if j > i else (0, 0)
+                        node = _node(word_hashes(raw[lo:hi], s[i:j] - lo, e[i:j] - lo))
+                        mine = [m["starts"] for m in verdict[d] if m["node"] == node]
+                        if None in mine:  # a copy
+                            gone[i:j] = True
+                        elif mine:
+                            gone[i + (np.frombuffer(b"".join(mine), "<i4")[:, None] + span).reshape(-1)] = True
                 before = np.concatenate([[0], np.cumsum(gone)])
                 out = [pa.array(np.diff(first)), pa.array(before[first[1:]] - before[first[:-1]]), _joined(raw, bounds, s, e, first, ~gone)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), *out], names=[*keep, "n_words", "n_removed", "kept"])
