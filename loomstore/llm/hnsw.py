@@ -13,10 +13,7 @@ time. Shard results are merged, and scores are computed anew in double precision
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +25,10 @@ from .textops import mix
 SHARD = 65_536
 LINKS, NEAR, BEAM = 24, 48, 256
 SMALL, HUBS = 4096, 10
+AT_ONCE = 16  # blocks of queries for which a shard is sent and read once
+CUT = 4096  # vectors of a shard in one row
+INDEX = pa.schema([("block", pa.int32()), ("cut", pa.int32()), ("cls_ids", pa.binary()), ("data", pa.binary()), ("near", pa.binary()), ("upper", pa.binary())])
+NONE_FOUND = pa.schema([("qcls", pa.int64()), ("cls", pa.int64()), ("score", pa.float64())]).empty_table()
 
 
 class Graph:
@@ -52,9 +53,9 @@ class Graph:
         top, _ = self.levels[0]
         if len(top) <= SMALL:  # one product
             out = np.empty((len(members), min(HUBS, len(top))), np.int32)
-            for a in range(0, len(members), 2048):
-                sim = self.x[members[a : a + 2048]] @ self.x[top].T
-                out[a : a + 2048] = top[np.argpartition(-sim, out.shape[1] - 1, 1)[:, : out.shape[1]]]
+            for a in range(0, len(members), 512):
+                sim = self.x[members[a : a + 512]] @ self.x[top].T
+                out[a : a + 512] = top[np.argpartition(-sim, out.shape[1] - 1, 1)[:, : out.shape[1]]]
             return out
         return np.concatenate([self.descend(self.x[members[a : a + 256]], 0, 4 * HUBS)[:, :HUBS] for a in range(0, len(members), 256)])
 
@@ -65,17 +66,23 @@ class Graph:
             at = _beam(self.x, self.levels[l][1], q, at[:, : 8 if l == last else 16], width if l == last else 16)
         return at
 
-    def to_bytes(self) -> bytes:
+    def upper(self) -> bytes:
+        """The levels above the lowest, whose members are all; of neighbours only the members' rows."""
         import pickle
 
-        return pickle.dumps([(m.astype("<i4"), n.astype("<i4")) for m, n in self.levels], 5)
+        return pickle.dumps([(m.astype("<i4"), n[m].astype("<i4")) for m, n in self.levels[1:]], 5)
 
     @staticmethod
-    def from_bytes(x: np.ndarray, blob: bytes) -> Graph:
+    def whole(x: np.ndarray, near: np.ndarray, upper: bytes) -> Graph:
+        """The graph with the vectors x of equal length, the lowest level's neighbours `near`, and upper()'s."""
         import pickle
 
         g = Graph.__new__(Graph)
-        g.x, g.levels = _equal_length(x), pickle.loads(blob)
+        g.x, g.levels = x, [(np.arange(len(x), dtype=np.int32), near)]
+        for members, own in pickle.loads(upper):
+            n = np.full((len(x), own.shape[1]), -1, np.int32)
+            n[members] = own
+            g.levels.append((members, n))
         return g
 
     def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +181,10 @@ def _link(x: np.ndarray, members: np.ndarray, near: np.ndarray, m: int, block: i
     # Mutual links: each link also from its other end, nearest first, as far as there is room.
     frm, to = np.repeat(np.arange(len(x), dtype=np.int32), m), out.reshape(-1)
     frm, to = frm[to >= 0], to[to >= 0]
-    new = ~np.isin(to.astype(np.int64) * len(x) + frm, frm.astype(np.int64) * len(x) + to)
+    parts = [slice(a, a + 16384) for a in range(0, len(to), 16384)]
+    new = np.concatenate([np.zeros(0, bool), *(~(out[to[p]] == frm[p, None]).any(1) for p in parts)])
     frm, to = frm[new], to[new]
-    order = np.lexsort((-np.einsum("ij,ij->i", x[frm], x[to]), to))
+    order = np.lexsort((-np.concatenate([np.zeros(0, x.dtype), *(np.einsum("ij,ij->i", x[frm[p]], x[to[p]]) for p in parts)]), to))
     frm, to = frm[order], to[order]
     first = np.searchsorted(to, to)
     slot = (out >= 0).sum(1)[to] + np.arange(len(to)) - first
@@ -249,30 +257,44 @@ def _search(rows: DataFrame, k: int, every: int, shard: int, beam: int) -> DataF
     n = V.n_blocks_for(classes.count(), shard)
     queries = V.query_rows(rows, classes, every)
     asked = classes.join(queries.select(F.col("qcls").alias("cls")).distinct(), "cls", "left_semi").select("cls", "vec")
-    q_blocks = V.blocks(asked, V.n_blocks_for(max(1, classes.count() // every), 1024), "<f4")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                cls, x = V.unpack(r["cls_ids"], r["data"], "<f4")
-                yield pa.RecordBatch.from_pylist([{"block": r["block"], "cls_ids": cls.tobytes(), "data": x.tobytes(), "graph": Graph(cls, x).to_bytes()}], schema=pa.schema([*V.PACKED, ("graph", pa.binary())]))
-
-    index = stored(V.blocks(classes.select("cls", "vec"), n, "<f4").mapInArrow(build, V.PACKED_SCHEMA + ", graph binary"), "hnsw")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                cls, x = V.unpack(r["cls_ids"], r["data"], "<f4")
-                q_cls, q = V.unpack(r["q_cls"], r["q_data"], "<f4")
-                g, parts = Graph.from_bytes(x, r["graph"]), []
+    n_q = V.n_blocks_for(max(1, classes.count() // every), 1024)
+    q_blocks = V.blocks(asked, n_q, "<f4")
+
+    def build(pieces: pa.Table) -> pa.Table:
+        block, ids, data = pieces["block"][0].as_py(), b"".join(pieces["cls_ids"].to_pylist()), b"".join(pieces["data"].to_pylist())
+        del pieces
+        cls, x = V.unpack(ids, data, "<f4")
+        del ids, data
+        g = Graph(cls, x)
+        near, cuts = g.levels[0][1].astype("<i4"), range(0, len(cls), CUT)
+        columns = [[block] * len(cuts), list(cuts), *([v[c : c + CUT].tobytes() for c in cuts] for v in (cls, g.x, near)), [b"" if c else g.upper() for c in cuts]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, INDEX)], schema=INDEX)
+
+    # Made once and sent to where it is asked: each shard's rows go out of the task that builds it.
+    index = V.pieces(classes.select("cls", "vec"), n, "<f4").groupBy("block").applyInArrow(build, "block int, cut int, cls_ids binary, data binary, near binary, upper binary")
+
+    def ask(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        out = [NONE_FOUND]
+        if len(asked) and len(shard):
+            cuts = np.argsort(shard["cut"].to_numpy())
+
+            def column(name: str, kind: str) -> np.ndarray:
+                """The column's parts as one array; the table itself is not copied."""
+                parts = [np.frombuffer(shard[name][c].as_buffer(), kind) for c in cuts.tolist()]
+                return np.concatenate(parts)
+
+            cls = column("cls_ids", "<i8")
+            g = Graph.whole(column("data", "<f4").reshape(len(cls), -1), column("near", "<i4").reshape(len(cls), -1), column("upper", "u1"))
+            x = g.x[:, :-1]
+            for q_ids, q_data in zip(asked["q_cls"], asked["q_data"]):
+                q_cls, q = V.unpack(q_ids.as_buffer(), q_data.as_buffer(), "<f4")
                 for a in range(0, len(q), 256):
                     at = g.search(q[a : a + 256], k + 1, beam)
                     line, slot = np.nonzero(at >= 0)
                     place = at[line, slot]
                     s = (x[place].astype(np.float64) * q[a + line].astype(np.float64)).sum(1)
-                    parts.append(V.best_rows(q_cls[a + line], cls[place], s, k + 1))
-                yield pa.RecordBatch.from_pandas(pd.concat(parts), preserve_index=False)
+                    out.append(pa.Table.from_pandas(V.best_rows(q_cls[a + line], cls[place], s, k + 1), NONE_FOUND.schema, preserve_index=False))
+        return pa.concat_tables(out).combine_chunks()
 
-    found = V.pairs_of_blocks(q_blocks, index, n).mapInArrow(ask, "qcls long, cls long, score double")
+    found = V.meet(q_blocks, index, n_q, n, AT_ONCE, ask, "qcls long, cls long, score double")
     return V.expand(found, queries, classes, k)

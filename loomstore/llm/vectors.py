@@ -39,8 +39,8 @@ def query_rows(rows: DataFrame, classes: DataFrame, every: int) -> DataFrame:
     return mine.join(classes.select("h", "vec", F.col("cls").alias("qcls")), ["h", "vec"]).select("query_id", "qcls")
 
 
-def blocks(vectors: DataFrame, n_blocks: int, kind: str) -> DataFrame:
-    """(cls, vec) packed into a few rows for each block: (block, cls_ids binary, data binary of kind)."""
+def pieces(vectors: DataFrame, n_blocks: int, kind: str) -> DataFrame:
+    """(cls, vec) packed into rows of a part of a block each: (block, cls_ids binary, data binary of kind)."""
 
     def pack(batches):
         for b in batches:
@@ -52,11 +52,17 @@ def blocks(vectors: DataFrame, n_blocks: int, kind: str) -> DataFrame:
                 at = keys == k
                 yield pa.RecordBatch.from_pylist([{"block": k, "cls_ids": cls[at].tobytes(), "data": flat[at].astype(kind).tobytes()}], schema=PACKED)
 
+    cut = vectors.select(F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int").alias("block"), "cls", "vec")
+    return cut.mapInArrow(pack, PACKED_SCHEMA)
+
+
+def blocks(vectors: DataFrame, n_blocks: int, kind: str) -> DataFrame:
+    """(cls, vec) packed into one row for each block: (block, cls_ids binary, data binary of kind)."""
+
     def join(rows):
         return pd.DataFrame({"block": [rows.block.iloc[0]], "cls_ids": [b"".join(rows.cls_ids)], "data": [b"".join(rows.data)]})
 
-    cut = vectors.select(F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int").alias("block"), "cls", "vec")
-    return cut.mapInArrow(pack, PACKED_SCHEMA).groupBy("block").applyInPandas(join, PACKED_SCHEMA)
+    return pieces(vectors, n_blocks, kind).groupBy("block").applyInPandas(join, PACKED_SCHEMA)
 
 
 PACKED_SCHEMA = "block int, cls_ids binary, data binary"
@@ -149,7 +155,9 @@ def expand(found: DataFrame, queries: DataFrame, classes: DataFrame, k: int) ->
     return mine.select("query_id", F.posexplode(own).alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 
-def pairs_of_blocks(queries: DataFrame, index: DataFrame, n_index: int) -> DataFrame:
-    """Each block of queries beside each block of the index: rows of bounded size, each searched by itself."""
-    q = queries.select(F.col("block").alias("q_block"), F.col("cls_ids").alias("q_cls"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("block"))
-    return q.join(index, "block")
+def meet(queries: DataFrame, index: DataFrame, n_queries: int, n_index: int, at_once: int, run, schema: str) -> DataFrame:
+    """run(queries, index) on pyarrow tables, for the rows of each block of the index and each `at_once` blocks of queries: a block of the index is there once for all of them, and a task holds no other."""
+    part = (F.col("block") / at_once).cast("int")
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("shard"), part.alias("part"), F.col("cls_ids").alias("q_cls"), F.col("data").alias("q_data"))
+    rows = index.withColumnRenamed("block", "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((n_queries - 1) // at_once))))
+    return q.groupBy("shard", "part").cogroup(rows.groupBy("shard", "part")).applyInArrow(run, schema)

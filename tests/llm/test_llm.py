@@ -110,6 +110,25 @@ def test_hnsw_recall(vectors):
     assert total == 35 * 5 and hit / total >= 0.9
 
 
+def test_a_shard_is_sent_once_for_many_blocks_of_queries(spark):
+    import pyarrow as pa
+
+    from loomstore.llm import vectors as V
+
+    q = spark.createDataFrame([(i, bytearray(b"q"), bytearray(b"d")) for i in range(40)], V.PACKED_SCHEMA)
+    index = spark.createDataFrame([(s, c) for s in range(2) for c in range(3)], "block int, cut int")
+
+    def run(asked, shard):
+        return pa.table({"queries": pa.array([len(asked)], pa.int64()), "shards": pa.array([len(set(shard["shard"].to_pylist()))], pa.int64()), "cuts": pa.array([len(shard)], pa.int64())})
+
+    got = V.meet(q, index, 40, 2, 16, run, "queries long, shards long, cuts long").collect()
+    assert sorted(map(tuple, got)) == [(8, 1, 3)] * 2 + [(16, 1, 3)] * 4
+    x = np.random.default_rng(2).standard_normal((5000, 8)).astype("<f4")
+    g = hnsw.Graph(np.arange(5000), x)
+    again = hnsw.Graph.whole(g.x, g.levels[0][1], g.upper())
+    assert len(g.levels) > 1 and np.array_equal(g.search(x[:50], 5), again.search(x[:50], 5))
+
+
 def test_segment_topk_is_exact(spark, vectors):
     df, x = vectors
     f = np.floor(1024 * x.astype(float)).astype(np.int64)
