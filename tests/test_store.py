@@ -120,6 +120,20 @@ def test_guards_query(spark):
     assert [x for x in got if x[0] not in twofold] == [x for x in want if x[0] not in twofold]
 
 
+def test_chains_too_long_are_refused_in_few_jobs(spark):
+    """Every pair from the fifth of each run on would have too long a chain: each is refused, with no round of jobs for it."""
+    n = 60
+    df = blobs(spark, [raw(b"", i=f"{i:03d}") for i in range(n + 1)])
+    pairs = [(i, f"{i + 1:03d}", f"{i:03d}") for i in range(n)]
+    sc = spark.sparkContext
+    sc.setJobGroup("judge", "")
+    got = {r["ord"]: r["status"] for r in store.judge_pairs(spark.createDataFrame(pairs, "ord long, target string, base string"), df, max_hops=4).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("judge"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # A chain of four edges is too long: so the fifth pair is refused, and its target begins a new chain.
+    assert got == {i: "skipped" if i % 5 == 4 else "ok" for i in range(n)} and jobs < 40
+
+
 def test_casts():
     x = np.array([1.0, -2.5, 3.140625, 65504.0, 1e-3], "<f4")
     assert np.array_equal(np.frombuffer(K.cast_floats(x.tobytes(), "float32", "float16"), "<f2"), x.astype("<f2"))
